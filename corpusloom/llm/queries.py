@@ -9,9 +9,19 @@ from .bpe import encode_texts
 from .distinctiveness import term_scores, top_terms
 from .leakage import leaked_items
 from .lookalikes import alike_pairs
+from .mojibake import archive_values, decode_values
 from .term_frequency import count_terms, mark_terms
 
 
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and name with its original, null where bytes are lost for good."""
+    return decode_values(archive_values(*(table(spark, sf_dir, t) for t in ("docs", "authors", "recipients"))))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).where("damaged").select("field", "doc_id", "value")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "tokens").where("ngram = 1"))
 
@@ -46,7 +56,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_residuals, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p5_found, p5_residuals, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
 
 _P5 = r"""
     with d as (select distinct doc_id, text from documents where text is not null),
