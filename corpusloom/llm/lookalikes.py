@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: Pairs of a Cyrillic, Greek or other letter and the Latin letter that prints alike.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
@@ -83,33 +85,41 @@ def repairs(text: str) -> dict[str, str]:
     return found
 
 
-def one_form(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, form) of every row of ``documents`` with a non-null text; ``form`` is equal for texts that print alike.
+def one_form(documents: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """(key, print, form) of every row of ``documents`` with a non-null text: ``print`` is the text's SHA-256, ``form`` the text
+    in its one form, equal for texts that print alike.
 
     Texts are whole, repeated rows stay, an empty text is its own form, null texts give no row, other columns aren't read.
     A substitution is made if its result is a token (of letters, digits and underscore, case kept) of the corpus; every
-    document's tokens count. Only rows with a character that can change go through Python; only tokens that mix scripts are
-    gathered as candidates, checked against the distinct tokens of the corpus by a join that may shuffle, and never held in
-    one task.
+    document's tokens count. Only rows with a character that can change go through Python, once, and are written to the
+    shared checkpoint folder; only tokens that mix scripts are gathered as candidates and checked against the tokens of the
+    corpus. They are broadcast if counted to be at most ``broadcast_rows``, else joined by shuffle; the rows are the same.
     """
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    plain = rows.where(~F.col("t").rlike(CHANGES)).select("k", "t", F.col("t").alias("form"))
+    changes = F.col("t").rlike(CHANGES)
+    plain = rows.where(~changes).select("k", F.sha2("t", 256).alias("print"), F.when(F.col("t").contains("\r"), F.regexp_replace("t", "\r\n?", "\n")).otherwise(F.col("t")).alias("form"))
 
     def print_form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             forms = [printed(t) for t in b["t"]]
             mixed = [repairs(f) for f in forms]
-            yield pd.DataFrame({"k": b["k"], "t": b["t"], "p": forms, "old": [list(m) for m in mixed], "new": [list(m.values()) for m in mixed]})
+            yield pd.DataFrame({"k": b["k"], "print": b["print"], "p": forms, "old": [list(m) for m in mixed], "new": [list(m.values()) for m in mixed]})
 
     kind = rows.schema["k"].dataType.simpleString()
-    changed = rows.where(F.col("t").rlike(CHANGES)).mapInPandas(print_form, f"k {kind}, t string, p string, old array<string>, new array<string>")
-    wanted = changed.where(F.size("new") > 0).select(F.explode("new").alias("w")).distinct()
-    corpus = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
-    words = corpus.where(F.length("w") < 200).groupBy("w").agg(F.lit(1).alias("_")).select("w")
-    real = wanted.join(words, "w", "left_semi")
-    pairs = changed.where(F.size("new") > 0).select("k", "t", F.explode(F.arrays_zip("old", "new")).alias("z")).select("k", "t", F.col("z.old").alias("old"), F.col("z.new").alias("w"))
-    accepted = pairs.join(real, "w").groupBy("k", "t").agg(F.map_from_entries(F.collect_set(F.struct("old", "w"))).alias("swap"))
-    joined = changed.where(F.size("new") > 0).select("k", "t", "p").distinct().join(accepted, ["k", "t"], "left")
+    read = rows.where(changes).select("k", "t", F.sha2("t", 256).alias("print"))
+    changed = durable(read.mapInPandas(print_form, f"k {kind}, print string, p string, old array<string>, new array<string>"))
+    done = changed.where(F.size("new") == 0).select("k", "print", F.col("p").alias("form"))
+    mixed = changed.where(F.size("new") > 0)
+    wanted = durable(mixed.select(F.explode("new").alias("w")).distinct())
+    few = wanted.count() <= broadcast_rows
+    coarse = rows.select(F.explode(F.split("t", r"[\x00-/:-@\[-^`{-\x7f]+")).alias("w"))
+    ascii_words = coarse.where(F.octet_length("w") == F.length("w"))
+    other_words = coarse.where(F.octet_length("w") != F.length("w")).distinct().select(F.explode(F.regexp_extract_all("w", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
+    held = (w.join(F.broadcast(wanted) if few else wanted, "w", "left_semi").distinct() for w in (ascii_words, other_words))
+    real = durable(next(held).unionByName(next(held)).distinct())
+    pairs = mixed.select("k", "print", F.explode(F.arrays_zip("old", "new")).alias("z")).select("k", "print", F.col("z.old").alias("old"), F.col("z.new").alias("w"))
+    accepted = pairs.join(real, "w").groupBy("k", "print").agg(F.map_from_entries(F.collect_set(F.struct("old", "w"))).alias("swap"))
+    joined = mixed.select("k", "print", "p").join(accepted, ["k", "print"], "left")
 
     def substitute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,11 +127,10 @@ def one_form(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for p, swap in zip(b["p"], b["swap"], strict=True):
                 swap = dict(swap) if swap is not None else {}
                 forms.append(_TOKEN.sub(lambda m, s=swap: s.get(m.group(), m.group()), p) if swap else p)
-            yield pd.DataFrame({"k": b["k"], "t": b["t"], "form": forms})
+            yield pd.DataFrame({"k": b["k"], "print": b["print"], "form": forms})
 
-    repaired = joined.mapInPandas(substitute, f"k {kind}, t string, form string")
-    done = changed.where(F.size("new") == 0).select("k", "t", F.col("p").alias("form"))
-    return plain.unionByName(done).unionByName(repaired).select(F.col("k").alias(key), F.col("t").alias(text), "form")
+    repaired = joined.mapInPandas(substitute, f"k {kind}, print string, form string")
+    return plain.unionByName(done).unionByName(repaired).withColumnRenamed("k", key)
 
 
 def alike_pairs(documents: DataFrame) -> DataFrame:
@@ -130,7 +139,8 @@ def alike_pairs(documents: DataFrame) -> DataFrame:
     Repeated rows count once; null and empty texts are in no pair. Forms held by one text only, however often, end at a map-side
     aggregate of fingerprints (SHA-256), so exact copies are never paired with each other and only rows of mixed forms meet.
     """
-    forms = one_form(documents).where(F.col("text") != "").select("doc_id", F.sha2("text", 256).alias("s"), F.sha2("form", 256).alias("f"))
+    texts = documents.where(F.col("text") != "")
+    forms = durable(one_form(texts).select("doc_id", F.unhex("print").alias("s"), F.unhex(F.sha2("form", 256)).alias("f")))
     mixed = forms.groupBy("f").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("f")
     held = forms.join(mixed, "f", "left_semi").distinct()
     a = held.select("f", F.col("doc_id").alias("doc_id_a"), F.col("s").alias("s_a"))

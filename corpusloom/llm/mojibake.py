@@ -185,7 +185,14 @@ def decode_values(values: DataFrame) -> DataFrame:
     lost = asked.select(F.explode("lost").alias("span")).distinct().mapInPandas(patterns, "span string, pattern string, key string, gap int")
     spans = each.select(F.explode(F.regexp_extract_all("value", F.lit(r"[A-Za-z0-9\x{80}-\x{10ffff}]+"), F.lit(0))).alias("s"), "n").where(F.col("s").rlike(r"[^\x00-\x7f]") & ~F.col("s").contains(LOST))
     corpus = spans.groupBy("s").agg(F.sum("n").alias("c")).withColumn("key", F.regexp_replace("s", r"[^\x00-\x7f]", ""))
-    filled = lost.join(corpus, "key").where(F.expr("s rlike pattern and (length(s) - length(key) = gap or octet_length(s) - length(key) = gap)")).groupBy("span").agg(F.max(F.struct("c", "s")).alias("b")).select("span", F.col("b.s").alias("s"))
+    met = lost.join(corpus, "key").where(F.expr("s rlike pattern and (length(s) - length(key) = gap or octet_length(s) - length(key) = gap)"))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(c=[math.log(c) + fit(s) for c, s in zip(b["c"], b["s"], strict=True)])
+
+    weighed = met.select("span", "s", F.col("c").cast("double").alias("c")).mapInPandas(weigh, "span string, s string, c double")
+    filled = weighed.groupBy("span").agg(F.max(F.struct("c", "s")).alias("b")).select("span", F.col("b.s").alias("s"))
     fills = asked.select("value", F.explode("lost").alias("span")).join(filled, "span").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("span", "s"))).alias("found"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

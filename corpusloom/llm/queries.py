@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import durable, table
 from .bpe import encode_texts
 from .distinctiveness import term_scores, top_terms
 from .leakage import leaked_items
 from .lookalikes import alike_pairs
 from .mojibake import archive_values, decode_values
+from .name_variants import variant_pairs
 from .term_frequency import count_terms, mark_terms
 
 
@@ -35,6 +37,12 @@ def p5_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_terms(_scores(spark, sf_dir), "adjusted")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings; the values that are cases of p1 are left out."""
+    names = p1_restored(spark, sf_dir).where("field <> 'docs.title' and not damaged")
+    return variant_pairs(durable(names.select(F.col("value").alias("name"))))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_counts(spark, sf_dir).where("mark is not null").select("token", "ngram", "mark")
 
@@ -56,7 +64,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p5_found, p5_residuals, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p5_found, p5_residuals, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
 
 _P5 = r"""
     with d as (select distinct doc_id, text from documents where text is not null),
