@@ -12,6 +12,7 @@ from .leakage import leaked_items
 from .lookalikes import alike_pairs
 from .mojibake import archive_values, decode_values
 from .name_variants import variant_pairs
+from .scan_repair import damaged_lines, repaired_paragraphs
 from .term_frequency import count_terms, mark_terms
 
 
@@ -24,6 +25,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_restored(spark, sf_dir).where("damaged").select("field", "doc_id", "value")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_lines(table(spark, sf_dir, "ocr_pages"))
+
+
+def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of every page."""
+    return repaired_paragraphs(table(spark, sf_dir, "ocr_pages"))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "tokens").where("ngram = 1"))
 
@@ -64,7 +74,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p5_found, p5_residuals, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_text, p5_found, p5_residuals, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
 
 _P5 = r"""
     with d as (select distinct doc_id, text from documents where text is not null),
