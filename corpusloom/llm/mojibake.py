@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 LOST = "�"
 #: Encodings that texts are read with by mistake, and those that they were written in.
 READ_AS = ["cp1252", "latin-1", "cp437", "mac_roman", "cp850", "cp1250", "cp1251", "cp1253"]
@@ -162,6 +164,7 @@ def decode_values(values: DataFrame) -> DataFrame:
     each = rows.groupBy("value").agg(F.count("*").alias("n"))
     word = F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{N}_]+(?:[’'][\p{L}\p{N}_]+)*"), F.lit(0))
     frequency = each.select(F.explode(word).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("c"))
+    frequency = durable(frequency)
     total = frequency.agg(F.sum("c")).first()[0] or 0
     odd = each.where(F.col("value").rlike(r"[^\x00-\x7f]")).select("value")
 
@@ -174,7 +177,8 @@ def decode_values(values: DataFrame) -> DataFrame:
                 lost.append([s for s in dict.fromkeys(spans) if LOST in s])
             yield pd.DataFrame({"value": b["value"], "words": words, "lost": lost})
 
-    asked = odd.mapInPandas(needs, "value string, words array<string>, lost array<string>")
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = durable(odd.repartition(parts, "value").mapInPandas(needs, "value string, words array<string>, lost array<string>"))
     known = asked.select("value", F.explode("words").alias("w")).join(frequency, "w").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("counts"))
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +204,7 @@ def decode_values(values: DataFrame) -> DataFrame:
             got = [decode(v, dict(c) if c is not None else {}, total, dict(f) if f is not None else {}) for v, c, f in zip(b["value"], b["counts"], b["found"], strict=True)]
             yield pd.DataFrame({"value": b["value"], "damaged": [d for d, _ in got], "original": [o for _, o in got]})
 
-    decoded = odd.join(known, "value", "left").join(fills, "value", "left").mapInPandas(search, "value string, damaged boolean, original string")
+    decoded = asked.select("value").join(known, "value", "left").join(fills, "value", "left").repartition(parts, "value").mapInPandas(search, "value string, damaged boolean, original string")
     out = rows.join(decoded, "value", "left")
     return out.select("field", "doc_id", "value", F.coalesce("damaged", F.lit(False)).alias("damaged"), F.when(F.col("damaged").isNull(), F.col("value")).otherwise(F.col("original")).alias("original"))
 
