@@ -19,7 +19,7 @@ ZONES = {
 
 _TIME = r"(?:[t ,]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*(?:([ap])\.?m\.?)?)?"
 _ZONE = r"\s*([+-]\d{2}:?\d{2}|[a-z]{1,4})?"
-_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:\.|[a-z]+)?"
+_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _DAYNAME = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
 _CLOCK = "$4~$5~$6~$7~$8"
