@@ -81,7 +81,7 @@ def test_missing_zone_is_estimated(spark, sources):
 
 
 def test_zone_with_fewest_violations(spark):
-    rows = spark.sql("select 1 as k, timestamp_ntz'1980-07-01 12:00:00' as l, 331300800L as i, 60L as s union all select 1, null, 0L, 60L union all select null, timestamp_ntz'1980-07-01', 0L, 60L")
+    rows = spark.sql("select 1 as k, timestamp_ntz'1980-07-01 12:00:00' as l, 331315200L as i, 60L as s union all select 1, null, 0L, 60L union all select null, timestamp_ntz'1980-07-01', 0L, 60L")
     got = estimate_zones(rows, "k", "l", "i", "s", ["UTC", "America/New_York"]).collect()
     assert [tuple(r) for r in got] == [(1, "America/New_York", 1, 0)]
 
