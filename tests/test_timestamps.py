@@ -109,7 +109,7 @@ def by_hand(text, zone, dmy, year):
     elif re.fullmatch(r"\d{6}00", t):
         t = f"{t[:4]}-{t[4:6]}"
     for f in [*FORMATS, *figures, "%d %b %Y %H:%M"]:
-        if re.fullmatch(r"\d{8}", t) and f != "%Y%m%d" or re.fullmatch(r"\d{14}", t) and f != "%Y%m%d%H%M%S" or re.fullmatch(r"\d{4}-\d{3}", t) and f != "%Y-%j":
+        if re.fullmatch(r"\d{8}", t) and f != "%Y%m%d" or re.fullmatch(r"\d{14}", t) and f != "%Y%m%d%H%M%S" or bool(re.fullmatch(r"\d{4}-\d{3}", t)) != (f == "%Y-%j"):
             continue
         try:
             d = datetime.strptime(t.replace("Sept.", "Sep."), f)
