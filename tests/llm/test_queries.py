@@ -1,0 +1,12 @@
+import pytest
+
+from corpusloom.llm import queries as q
+
+
+@pytest.mark.parametrize("name", sorted(q.QUERIES))
+def test_query(name, spark, data, duck, same):
+    df = q.QUERIES[name](spark, data)
+    if name in q.SQL:
+        same(df, duck, q.SQL[name])
+    else:
+        assert df.count() >= 0
