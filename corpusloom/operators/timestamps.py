@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: Month names, and zone abbreviations with their offset in minutes.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ZONES = {
@@ -146,7 +148,9 @@ def normalise_times(docs: DataFrame, sources: DataFrame) -> DataFrame:
     rows = docs.select("id", "timestamp", "year", "date_orig", "collection_id")
     places = sources.select("collection_id", F.col("home_zone").alias("_home"), (F.col("day_order") == "dmy").alias("_dmy"))
     known = rows.join(places, "collection_id", "left")
-    stated = parse_stated(known, "date_orig", F.coalesce("_dmy", F.lit(False)), F.col("year"))
+    parsed = parse_stated(known, "date_orig", F.coalesce("_dmy", F.lit(False)), F.col("year"))
+    # read twice below; materialised, each text is parsed once and its expressions aren't copied into every later predicate
+    stated = durable(parsed.select("id", "timestamp", "year", "collection_id", "_home", "local", "offset", "instant", "span"))
     zones = [r[0] for r in sources.select("home_zone").where("home_zone is not null").distinct().orderBy("home_zone").limit(600).collect()] or ["UTC"]
     exact = stated.where("local is not null and offset is null and timestamp is not null").select(
         "id", "collection_id", "local", epoch_seconds(F.col("timestamp"), F.col("year"), F.lit("UTC")).alias("instant"), "span"
