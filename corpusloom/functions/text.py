@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -77,18 +78,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: Catalyst would copy its expression to every place, even into a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n successive tokens, joined by blanks; empty if there are fewer."""
     if n == 1:
         return words
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return _once(words, runs)
 
 
 def sections(words: Column, length: int) -> Column:
     """Arrays of ``length`` successive tokens, the last one shorter; none for a text without tokens."""
-    count = F.ceil(F.size(words) / F.lit(length)).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(words, i * length + 1, length))).otherwise(F.array().cast("array<array<string>>"))
+
+    def parts(w: Column) -> Column:
+        count = F.ceil(F.size(w) / F.lit(length)).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(w, i * length + 1, length))).otherwise(F.array().cast("array<array<string>>"))
+
+    return _once(words, parts)
 
 
 def expand_contractions(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ngrams, sections
+from ..session import durable
 from .archive import Archive
 
 
@@ -85,13 +86,14 @@ def valid_unigram(token: Column) -> Column:
 def apriori(archive: Archive, n: int, min_count: int) -> DataFrame:
     """Runs of n tokens whose parts of n - 1 tokens are both in the vocabulary, and that don't begin with two figures.
 
-    Each level is a pair of semi-joins against the level below, so the candidates shrink before they are counted.
+    Each level is a pair of semi-joins against the level below. A level's counts are materialised: they are read twice, and its
+    predicates would else be pushed below the count, to every occurrence instead of every distinct run.
     """
     if n == 1:
-        words = vocabulary(archive, 1, 1)
+        words = durable(vocabulary(archive, 1, 1))
         return words.where(valid_unigram(F.col("token")) | F.col("token").rlike("^[0-9ai]$"))
-    below = apriori(archive, n - 1, min_count).select("token")
-    found = vocabulary(archive, n, min_count).where(~F.col("token").rlike("^[0-9]+ [0-9]+[a-z]*"))
+    below = durable(apriori(archive, n - 1, min_count).select("token"))
+    found = durable(vocabulary(archive, n, min_count)).where(~F.col("token").rlike("^[0-9]+ [0-9]+[a-z]*"))
     parts = F.split("token", " ")
     keyed = found.withColumn("_a", F.array_join(F.slice(parts, 1, n - 1), " ")).withColumn("_b", F.array_join(F.slice(parts, 2, n - 1), " "))
     first = keyed.join(below.withColumnRenamed("token", "_a"), "_a", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CONTRACTIONS, expand_contractions, ngrams, tokens
 from ..operators import corpus as co
 from ..operators.archive import Archive
+from ..session import durable
 from .common import BASE, quoted
 
 
@@ -40,7 +41,7 @@ def five_gram_counts_min5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unigram_validity(spark: SparkSession, d: str) -> DataFrame:
-    return co.vocabulary(Archive(spark, d), 1, 1).select("token", co.valid_unigram(F.col("token")).alias("valid"))
+    return durable(co.vocabulary(Archive(spark, d), 1, 1)).select("token", co.valid_unigram(F.col("token")).alias("valid"))
 
 
 def apriori_bigrams(spark: SparkSession, d: str) -> DataFrame:
