@@ -32,7 +32,7 @@ _SPAN = re.compile(rf"[A-Za-z0-9\x80-\U0010ffff]+(?:(?<=[{_LEADS}]) [A-Za-z0-9\x
 _WORD = re.compile(r"\w+(?:[’']\w+)*")
 #: Log-odds of the noisy channel: scripts mixed in a word, marks between letters, letter case, bytes that happen to be valid
 #: UTF-8, leaving a state, and characters that archives of letters don't have.
-_MIXED, _INSIDE, _CASE, _VALID, _SWITCH, _CONTROL, _STRANGE = -15.0, -12.0, -8.0, -12.0, -3.0, -40.0, -12.0
+_MIXED, _INSIDE, _CASE, _VALID, _SWITCH, _CONTROL, _STRANGE = -15.0, -12.0, -8.0, -12.0, -2.0, -40.0, -12.0
 _OPENING, _CLOSING, _APART = "«“„‘¿¡", "»”", "±×÷¬¦¤¯"
 
 
@@ -97,6 +97,8 @@ def fit(span: str) -> float:
                 score += _INSIDE
             if 0x2200 <= ord(b) < 0x2700 or unicodedata.category(b) in ("Lm", "No", "Sk"):
                 score += _STRANGE
+        elif 0x17F < ord(b) < 0x370 or 0x1D00 <= ord(b) < 0x1E00:
+            score += _STRANGE
         elif a.isupper() and b.islower() and c.isupper() or b.isupper() and a.isalpha() and small:
             score += _CASE
     if any(unicodedata.category(c) in ("Cc", "Cn", "Co") for c in span):

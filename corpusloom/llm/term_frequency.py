@@ -86,7 +86,7 @@ class _Spill:
             yield from finer.sums()
 
 
-def count_terms(tokens: DataFrame, postings: DataFrame, unit: str = "docs", budget_mb: int = 96, partitions: int | None = None) -> DataFrame:
+def count_terms(tokens: DataFrame, postings: DataFrame, unit: str = "docs", budget_mb: float = 96, partitions: int | None = None) -> DataFrame:
     """(token, ngram, total, records) of every term of ``tokens``.
 
     ``total`` is the sum of ``tokens.total`` over the term's distinct rows, null amounts adding nothing; ``records`` the
@@ -108,7 +108,7 @@ def count_terms(tokens: DataFrame, postings: DataFrame, unit: str = "docs", budg
     marked = rows.join(F.broadcast(hot), rows["token"].eqNullSafe(F.col("t")) & rows["ngram"].eqNullSafe(F.col("g")), "left").drop("t", "g")
     spread = marked.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("item"), F.lit(parts))).otherwise(0))
     folder = f"{shared_dir(spark)}/radix-{uuid.uuid4().hex}"
-    budget = budget_mb << 20
+    budget = int(budget_mb * 2**20)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spill = _Spill(folder, budget, 0)

@@ -39,7 +39,7 @@ def test_scores_of_nothing(spark):
 # term counts
 
 
-@pytest.mark.parametrize("budget", [0, 96])
+@pytest.mark.parametrize("budget", [0.02, 96])
 def test_counts_spill_or_not(spark, budget):
     rows = [("hot", f"{k}", k, 1, 2) for k in range(3000)] + [(f"t{k % 50}", "r", 5000 + k, 1, k % 3) for k in range(400)] + [("hot", "0", 0, 1, 2), (None, None, 9, 1, None), ("n", "n", 10, 2, None)]
     tokens = spark.createDataFrame(rows, "token string, token_reversed string, id long, ngram int, total long")
@@ -120,13 +120,13 @@ def test_passages(spark):
 
 
 def test_windows_against_brute_force(spark, data):
-    docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").select("doc_id", "text").collect()]
+    docs = [(r[0], leakage.folded(r[1])) for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
     want = set()
     for i, t in items:
         w = [x for x in map(leakage.folded, t.split()) if x]
         runs = {"".join(w[k : k + 20]) for k in range(len(w) - 19)}
-        want |= {(d, i) for d, text in docs if any(r in leakage.folded(text) for r in runs)}
+        want |= {(d, i) for d, stream in docs if any(r in stream for r in runs)}
     found = {tuple(r) for r in leakage.leaked_items(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
     assert want <= found
     assert len(found - want) <= len(want) // 20
@@ -149,7 +149,7 @@ def test_myers_is_the_edit_distance():
 
 
 def pairs(spark, texts):
-    return {tuple(r) for r in lookalikes.alike_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string, form string" if False else "doc_id long, text string")).collect()}
+    return {tuple(r) for r in lookalikes.alike_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
 
 
 def test_alike(spark):
@@ -218,6 +218,9 @@ def test_near_keys_are_exact(spark):
         ("F D Dozmør", ("person", "dozmor", ["f"], [], "d")),
         ("Peggy Kuld", ("person", "kuld", ["m"], ["margaret"], None)),
         ("Kriavillick, MD", ("person", "kriavillick", ["m"], [], "d")),
+        ("Preškel JR", ("person", "preskel", ["j"], [], "r")),
+        ("Lianer, SR", ("person", "lianer", ["s"], [], "r")),
+        ("Stistett, Nicholas J, Jr.", ("person", "stistett", ["n"], ["nicholas"], "j")),
         ("Attorneys, Aldous & Marrick", ("organisation", "aldous marrick attorneys", [], [], None)),
         ("Pomfrey, Stane & Hult Attys", ("organisation", "pomfrey stane hult attorneys", [], [], None)),
         ("X", ("person", "x", [], [], None)),
