@@ -67,6 +67,32 @@ def expand_wildcard(archive: Archive, pattern: str, limit: int = 10) -> DataFram
     return found.orderBy(F.desc("total"), "token").limit(limit)
 
 
+def search_terms(archive: Archive, terms: list[str], limit: int = 10) -> DataFrame:
+    """(asked, token, ngram, total): the concrete tokens of search terms, wildcards expanded, unknown terms left out."""
+    out = None
+    for t in dict.fromkeys(terms):
+        if "*" in t:
+            found = expand_wildcard(archive, t, limit)
+        else:
+            found = archive.vocabulary.where((F.col("token") == t) & (F.col("ngram") == len(t.split()))).select("token", "ngram", "total")
+        rows = found.select(F.lit(t).alias("asked"), "token", "ngram", "total")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def term_units(archive: Archive, term: str, unit: str = "docs") -> DataFrame:
+    """(unit_id) of the units that hold a term: any of a wildcard's tokens; the n-gram itself, or, if the vocabulary lacks it,
+    every one of its words."""
+    postings = archive.raw("postings").where(F.col("unit") == unit)
+    if "*" in term:
+        return postings.join(F.broadcast(expand_wildcard(archive, term)), ["token", "ngram"], "left_semi").select("unit_id").distinct()
+    words = term.split()
+    known = not archive.vocabulary.where((F.col("token") == term) & (F.col("ngram") == len(words))).isEmpty()
+    asked = [term] if known else sorted(set(words))
+    held = postings.where(F.col("token").isin(asked)).groupBy("unit_id").agg(F.count_distinct("token").alias("_k"))
+    return held.where(F.col("_k") == len(asked)).select("unit_id")
+
+
 def known_terms(archive: Archive, terms: list[str]) -> DataFrame:
     """(token, known) of terms."""
     asked = archive.spark.createDataFrame([(t, len(t.split())) for t in terms], "token string, ngram int")

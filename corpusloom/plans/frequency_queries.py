@@ -82,6 +82,18 @@ def term_existence(spark: SparkSession, d: str) -> DataFrame:
     return fr.known_terms(Archive(spark, d), [*TERMS, "audit outlet", "no such term", "zzz"])
 
 
+def concrete_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Search terms as the tokens they stand for."""
+    return fr.search_terms(Archive(spark, d), ["tobacco", "re*", "audit outlet", "no such term"])
+
+
+def units_of_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Docs that hold a wildcard's tokens, an n-gram, or the words of an n-gram that isn't in the vocabulary."""
+    a = Archive(spark, d)
+    parts = [fr.term_units(a, t).select(F.lit(t).alias("term"), "unit_id") for t in ("re*", "audit outlet", "tobacco account")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def collection_breakdown_top9(spark: SparkSession, d: str) -> DataFrame:
     a = Archive(spark, d)
     return fr.breakdown(a, TERMS, fr.collection_dim(a), "collection")
@@ -179,7 +191,7 @@ def missing_years(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     token_year_counts, unit_totals_docs, unit_totals_sections, collection_totals, doc_type_totals, filter_combined_docs, filter_combined_counts,
-    page_filter_counts, weighted_type_counts, term_filtered_counts, wildcard_prefix, wildcard_suffix, wildcard_bigram, term_existence,
+    page_filter_counts, weighted_type_counts, term_filtered_counts, wildcard_prefix, wildcard_suffix, wildcard_bigram, term_existence, concrete_terms, units_of_terms,
     collection_breakdown_top9, doctype_breakdown, doctype_group_breakdown, ngram_query, zscore_vs_reference, moving_average_series,
     padded_reference, doc_type_indexes, year_id_ranges, year_range_join, vector_bag_sum, vector_mask, vector_year_ratio, vector_statistics,
     incidence_long, missing_years,
@@ -240,6 +252,8 @@ SQL = {
     "wildcard_suffix": f"{BASE} select token, ngram, total from v where ngram = 1 and token like '%ed' order by total desc, token limit 10",
     "wildcard_bigram": f"{BASE} select token, ngram, total from v where ngram = 2 and token like 'audit o%' order by total desc, token limit 10",
     "term_existence": f"{BASE} select t as token, exists (select 1 from v where v.token = t and v.ngram = len(string_split(t, ' '))) as known from (select unnest([{_T}, 'audit outlet', 'no such term', 'zzz']) as t)",
+    "concrete_terms": f"{BASE}, x as (select * from v where ngram = 1 and token like 're%' order by total desc, token limit 10) select 're*' as asked, token, ngram, total from x union all select token, token, ngram, total from v where (token = 'tobacco' and ngram = 1) or (token = 'audit outlet' and ngram = 2)",
+    "units_of_terms": f"{BASE}, x as (select * from v where ngram = 1 and token like 're%' order by total desc, token limit 10) select distinct 're*' as term, unit_id from p where unit = 'docs' and ngram = 1 and token in (select token from x) union all select distinct 'audit outlet', unit_id from p where unit = 'docs' and token = 'audit outlet' union all select 'tobacco account', unit_id from p where unit = 'docs' and token in ('tobacco', 'account') group by unit_id having count(distinct token) = 2",
     "collection_breakdown_top9": f"{BASE}, {_HITS}, {_DIMS}, {_breakdown('co', 'collection', 9)} select * from b",
     "doctype_breakdown": f"{BASE}, {_HITS}, {_DIMS}, {_breakdown('td', 'doc_type', 9)} select * from b",
     "doctype_group_breakdown": f"{BASE}, {_HITS}, {_DIMS}, {_breakdown('gd', 'grp', None)} select * from b",
