@@ -48,7 +48,8 @@ def numbered(df: DataFrame, order: list[str], name: str, size: Column | None = N
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = F.lit(1) if size is None else F.coalesce(size, F.lit(0))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).withColumn("_one", one.cast("bigint"))
+    # materialised: both uses below must see the same ranges, which a second sampling or a coalesced read could change
+    ranged = durable(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).withColumn("_one", one.cast("bigint")))
     starts = ranged.groupBy("_part").agg(F.sum("_one").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_start")
