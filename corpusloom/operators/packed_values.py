@@ -33,6 +33,7 @@ def split_packed(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
     out: list[str] = []
     i, n = 0, len(text)
     enclosing: list[str] = []
+    closing = _closings(text) if any(c in text for c in BRACKETS) else {}
     while i < n:
         c = text[i]
         if c in delimiters or c.isspace():
@@ -40,7 +41,7 @@ def split_packed(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
         elif enclosing and c == enclosing[-1]:
             enclosing.pop()
             i += 1
-        elif c in BRACKETS and _encloses(text, i, delimiters):
+        elif i in closing and _at_end(text, closing[i] + 1, delimiters):
             enclosing.append(BRACKETS[c])
             i += 1
         else:
@@ -77,21 +78,23 @@ def _at_end(text: str, k: int, delimiters: str) -> bool:
     return k >= len(text) or text[k] in delimiters or text[k] in BRACKETS.values()
 
 
-def _encloses(text: str, i: int, delimiters: str) -> bool:
-    """Whether the bracket at i is closed where a value may end."""
-    close, depth, k, n = BRACKETS[text[i]], 0, i, len(text)
-    fresh = True
-    while k < n:
+def _closings(text: str) -> dict[int, int]:
+    """The place of the closing bracket of each opening one, quotes that begin a value skipped; one pass over the text."""
+    pairs: dict[int, int] = {}
+    open_at: list[int] = []
+    k, fresh = 0, True
+    while k < len(text):
         c = text[k]
         if fresh and c in QUOTES and (q := _quoted(text, k)):
             k, fresh = q[1], False
             continue
-        depth += (c == text[i]) - (c == close)
-        if not depth:
-            return _at_end(text, k + 1, delimiters)
-        fresh = c in delimiters or c.isspace() or c in BRACKETS
+        if c in BRACKETS:
+            open_at.append(k)
+        elif open_at and c == BRACKETS[text[open_at[-1]]]:
+            pairs[open_at.pop()] = k
+        fresh = c in DELIMITERS or c.isspace() or c in BRACKETS
         k += 1
-    return False
+    return pairs
 
 
 def _value(text: str, i: int, delimiters: str, enclosing: list[str]) -> tuple[str, int]:

@@ -45,6 +45,8 @@ def test_never_fails(text):
 
 def test_very_long():
     assert len(split_packed("a;" * 200_000)) == 200_000
+    assert split_packed("(" * 50_000 + "a" + ")" * 50_000) == ["a"]
+    assert split_packed("[" * 50_000) == ["[" * 50_000]
 
 
 def test_rows(spark):
