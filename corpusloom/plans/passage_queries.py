@@ -130,7 +130,7 @@ def tfidf_smooth(spark: SparkSession, d: str) -> DataFrame:
 def _policy(a: Archive) -> DataFrame:
     terms = a.vocabulary.where("ngram = 1 and total > 100 and length(token) > 1 and not token rlike '^[0-9]+$'").select("token")
     short = a.docs.where("coalesce(pages, 0) <= 5").select(F.col("id").alias("unit_id"), "year").distinct()
-    rows = a.raw("postings").where("unit = 'docs'").distinct().join(F.broadcast(terms), "token", "left_semi").join(short, "unit_id")
+    rows = a.raw("postings").where("unit = 'docs'").distinct().join(terms, "token", "left_semi").join(short, "unit_id")
     counts = rows.groupBy("token", "year").agg(F.sum("tf").alias("cnt"))
     totals = fr.unit_totals(a).join(short, "unit_id").groupBy("year").agg(F.sum("total").alias("total"))
     return fr.densify(counts, a, ["token"], ["cnt"]).join(F.broadcast(totals), "year", "left").fillna(0, ["total"])
