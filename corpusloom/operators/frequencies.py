@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import relative_frequency, share, z_score
 from .archive import Archive
+from .corpus import numbered
 from .filters import Filters, eligible
 
 
@@ -187,6 +188,18 @@ def year_ranges(archive: Archive) -> DataFrame:
     return archive.docs.groupBy("year").agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count("*").alias("n"))
 
 
+def year_range_counts(archive: Archive) -> DataFrame:
+    """(range_year, n): for every year, the docs whose id lies in the year's range of ids, whichever year they are of themselves.
+
+    Ranges overlap, so a doc can count for many years; a range's docs are the difference of the running numbers at its two ends, and no
+    doc meets a range that it isn't an end of.
+    """
+    ids = numbered(archive.docs.where("id is not null").groupBy("id").agg(F.count("*").alias("_k")), ["id"], "_before", F.col("_k"))
+    ends = year_ranges(archive).where("year is not null").select(F.col("year").alias("range_year"), F.posexplode(F.array("min_id", "max_id")).alias("_top", "id"))
+    n = F.sum(F.when(F.col("_top") == 1, F.col("_before") + F.col("_k")).otherwise(-F.col("_before")))
+    return ids.join(F.broadcast(ends), "id").groupBy("range_year").agg(n.alias("n"))
+
+
 def ngram_result(archive: Archive, terms: list[str], filters: Filters, groups: dict[str, list[str]]) -> DataFrame:
     """The whole answer to a frequency query, long: (kind, key, year, cnt, total, freq) with kinds token, collection, doc_type and group."""
     tokens = token_series(archive, terms, filters).select(F.lit("token").alias("kind"), F.col("token").alias("key"), "year", "cnt", "total", "freq")

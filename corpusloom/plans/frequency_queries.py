@@ -146,12 +146,18 @@ def year_id_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_range_join(spark: SparkSession, d: str) -> DataFrame:
-    """Docs by the year whose range of ids they fall in; ranges overlap, as some docs came in late. The ranges are one row a year."""
+    """Docs by the year since 2010 whose range of ids they fall in, as its SQL has it; ``year_range_counts`` has every year. Ranges overlap,
+    as some docs came in late. The ranges are one row a year."""
     a = Archive(spark, d)
     ranges = fr.year_ranges(a).select(F.col("year").alias("range_year"), "min_id", "max_id").where("range_year >= 2010")
     return a.docs.select("id").join(F.broadcast(ranges), F.col("id").between(F.col("min_id"), F.col("max_id"))).groupBy("range_year").agg(F.count("*").alias("n"))
 
 
+def year_range_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Docs by the year whose range of ids they fall in, for every year."""
+    return fr.year_range_counts(Archive(spark, d))
+
+
 def vector_bag_sum(spark: SparkSession, d: str) -> DataFrame:
     a = Archive(spark, d)
     return fr.vector_sum(*[fr.term_vector(a, [t]).select("unit_id", "tf") for t in TERMS])
@@ -193,7 +199,7 @@ QUERIES = {f.__name__: f for f in (
     token_year_counts, unit_totals_docs, unit_totals_sections, collection_totals, doc_type_totals, filter_combined_docs, filter_combined_counts,
     page_filter_counts, weighted_type_counts, term_filtered_counts, wildcard_prefix, wildcard_suffix, wildcard_bigram, term_existence, concrete_terms, units_of_terms,
     collection_breakdown_top9, doctype_breakdown, doctype_group_breakdown, ngram_query, zscore_vs_reference, moving_average_series,
-    padded_reference, doc_type_indexes, year_id_ranges, year_range_join, vector_bag_sum, vector_mask, vector_year_ratio, vector_statistics,
+    padded_reference, doc_type_indexes, year_id_ranges, year_range_join, year_range_counts, vector_bag_sum, vector_mask, vector_year_ratio, vector_statistics,
     incidence_long, missing_years,
 )}
 
