@@ -11,6 +11,7 @@ from ..operators import distinctive as di
 from ..operators import frequencies as fr
 from ..operators import passages as pa
 from ..operators.archive import Archive
+from ..session import durable
 from .common import BASE, quoted
 from .corpus_queries import _SECTIONS
 
@@ -137,7 +138,8 @@ def _policy(a: Archive) -> DataFrame:
 
 
 def policy_changepoints(spark: SparkSession, d: str) -> DataFrame:
-    """Four years before against four years after, for every year and frequent term of short docs."""
+    """Four years before against four years after, for every year and frequent word of short docs of all collections together, as its SQL
+    has it; ``policy_changepoints_by_collection`` has every n-gram by collection."""
     return di.change_points(_policy(Archive(spark, d)), ["token"])
 
 
@@ -145,10 +147,40 @@ def policy_adoptions(spark: SparkSession, d: str) -> DataFrame:
     return di.adoption(di.change_points(_policy(Archive(spark, d)), ["token"]), ["token"])
 
 
+def _policy_of_collections(a: Archive) -> DataFrame:
+    """(collection_id, token, year, cnt, total) of short docs: every n-gram above the total of which no word is a single character or a
+    number, in every collection and year, 0 where there was none."""
+    sound = "not exists(split(token, ' '), x -> length(x) < 2 or x rlike '^[0-9]+$')"
+    terms = durable(a.vocabulary.where(f"total > 100 and {sound}").select("token").distinct())
+    short = a.docs.where("coalesce(pages, 0) <= 5 and year is not null").select(F.col("id").alias("unit_id"), "collection_id", "year").distinct()
+    rows = a.raw("postings").where("unit = 'docs'").join(short, "unit_id", "left_semi").repartition("unit_id").distinct().join(short, "unit_id")
+    named = rows.join(terms.select("token", F.col("token").alias("term")), "token", "left")
+    # one pass over the postings for both: what isn't a term counts under null
+    counts = durable(named.groupBy("collection_id", "year", "term").agg(F.sum("tf").alias("cnt"), F.sum(F.when(F.col("ngram") == 1, F.col("tf"))).alias("total")))
+    totals = counts.groupBy("collection_id", "year").agg(F.sum("total").alias("total"))
+    years = short.select("collection_id").distinct().join(F.broadcast(fr.years_of(a))).join(totals, ["collection_id", "year"], "left").fillna(0, ["total"])
+    dated = years.groupBy("collection_id").agg(F.collect_list(F.struct("year", "total")).alias("years"))
+    held = counts.where("term is not null").groupBy("collection_id", F.col("term").alias("token")).agg(F.map_from_entries(F.collect_list(F.struct("year", "cnt"))).alias("held"))
+    # the years are unfolded where a term's series is kept together, so the dense series is never moved
+    grid = terms.join(F.broadcast(dated)).join(held, ["collection_id", "token"], "left").repartition("collection_id", "token")
+    each = grid.select("collection_id", "token", "held", F.explode("years").alias("y"))
+    return each.select("collection_id", "token", "y.year", F.coalesce(F.try_element_at("held", F.col("y.year")), F.lit(0)).alias("cnt"), "y.total")
+
+
+def policy_changepoints_by_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Four years before against four years after, for every collection, year and frequent n-gram of short docs."""
+    return di.change_points(_policy_of_collections(Archive(spark, d)), ["collection_id", "token"])
+
+
+def policy_adoptions_by_collection(spark: SparkSession, d: str) -> DataFrame:
+    return di.adoption(policy_changepoints_by_collection(spark, d), ["collection_id", "token"])
+
+
 QUERIES = {f.__name__: f for f in (
     term_cooccurrence_units, term_cooccurrence_sections, section_islands, hit_positions, keyword_passages, highlighted_passages, passage_readability,
     passage_sample, documents_by_year, doc_headers, frequent_authors, distinctive_terms, all_term_comparison, distinctive_terms_by_collection,
     distinctive_term_years, frequent_terms, doc_set_totals, tf_l2, tfidf_smooth, policy_changepoints, policy_adoptions,
+    policy_changepoints_by_collection, policy_adoptions_by_collection,
 )}
 
 _S = quoted(di.STOP_WORDS)
