@@ -292,8 +292,9 @@ def _pieces(lines, kinds, opened, head) -> tuple[list[Piece], list[int]]:
     return stream(list(lines), list(kinds), head if opened else None)
 
 
-def corrections(bodies: DataFrame, ratio: float = 4.0) -> tuple[DataFrame, DataFrame]:
-    """(form, good, odds) of forms of the corpus that are likelier another word or two, and the words (w, n) of the corpus.
+def corrections(bodies: DataFrame, ratio: float = 4.0, times: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """(form, good, odds) of forms of the corpus that are likelier another word or two, and (form, good, half) of neighbours that are
+    likelier one word torn by a blank, with the rarer half.
 
     Words are counted over all pages. Two words meet only if their skeletons are equal, and only the more frequent corrects the
     other: ``ratio`` times as frequent, or half of that where confusions lead one way only. Rare forms that are two
@@ -334,19 +335,43 @@ def corrections(bodies: DataFrame, ratio: float = 4.0) -> tuple[DataFrame, DataF
 
     kind = "form string, good string, odds double"
     swapped = met.select("w", "n", "good", "m").mapInPandas(weigh, kind)
-    plenty = words.where(F.col("n") >= 20).select("w", "n")
-    rare = words.where((F.col("n") <= 2) & F.length("w").between(5, 40) & ~F.col("w").rlike(r"[\d|]"))
-    cut = rare.select(F.col("w").alias("form"), "n", F.explode(F.sequence(F.lit(2), F.length("w") - 2)).alias("k"))
+    beside = _beside(bodies, words)
+    whole = words.where(F.length("w").between(5, 40) & ~F.col("w").rlike(r"[\d|]"))
+    cut = whole.select(F.col("w").alias("form"), "n", F.explode(F.sequence(F.lit(2), F.length("w") - 2)).alias("k"))
     halves = cut.select("form", F.col("n").alias("f"), F.expr("substring(form, 1, k)").alias("a"), F.expr("substring(form, k + 1)").alias("b"))
-    joined = halves.join(plenty.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(plenty.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
-    apart = joined.select("form", F.concat_ws(" ", "a", "b").alias("good"), (F.ln("na") + F.ln("nb") - F.ln(F.lit(total + 1.0)) - F.ln("f") - 1.0).alias("odds")).where("odds > 0")
-    return swapped.unionByName(apart).groupBy("form").agg(F.max(F.struct("odds", "good")).alias("b")).select("form", F.col("b.good").alias("good"), F.col("b.odds").alias("odds")), words
+    joined = halves.join(words.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
+    seen = beside.groupBy("a", "b").agg(F.sum("p").alias("p"), F.max_by("between", "p").alias("between"))
+    read = joined.join(seen, ["a", "b"], "left").withColumn("odds", F.ln(F.when(F.least("na", "nb") >= F.col("f") * times, F.greatest(F.col("na") * F.col("nb") / (total + 1.0), F.coalesce("p", F.lit(0)))).otherwise(F.col("p"))) - F.ln("f") - 1.0)
+    apart = read.where("odds > 0").select("form", F.concat("a", F.coalesce("between", F.lit(" ")), "b").alias("good"), "odds")
+    counts = [words.select(F.col("w").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
+    strays = beside.where("between = ' '").join(words.select("w", "n"), "w").where(~F.col("w").rlike(r"[\d|]")).join(counts[0], "a").join(counts[1], "b")
+    strays = strays.where((F.col("n") >= F.least("na", "nb") * times) & (F.col("p") > F.col("na") * F.col("nb") / (total + 1.0)))
+    torn = strays.select(F.concat_ws(" ", "a", "b").alias("form"), F.col("w").alias("good"), F.when(F.col("na") < F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("half"))
+    return swapped.unionByName(apart).groupBy("form").agg(F.max(F.struct("odds", "good")).alias("b")).select("form", F.col("b.good").alias("good"), F.col("b.odds").alias("odds")), torn
 
 
-def _cut_words(bodies: DataFrame, held: DataFrame, words: DataFrame) -> DataFrame:
-    """(tid, page_no, form, good, odds) of neighbours with a blank between, one of them rare, that make a frequent word together."""
-    rare = words.where((F.col("n") <= 2) & ~F.col("w").rlike(r"[\d|]")).select(F.col("w").alias("form"))
-    on_page = held.join(rare, "form", "left_semi").groupBy("tid", "page_no").agg(F.collect_set("form").alias("rare"))
+def _beside(bodies: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b, between, p, w): how often two words stand beside each other with a blank or hyphen between, if both as one are a word w too."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: dict[tuple[str, str, str], int] = {}
+            for row in zip(b["lines"], b["kinds"], b["open"], b["next_head"], strict=True):
+                pieces = _pieces(*row)[0]
+                for x, y in zip(pieces, pieces[1:], strict=False):
+                    if y.before in (" ", "-"):
+                        at = x.text.lower(), y.text.lower(), y.before
+                        out[at] = out.get(at, 0) + 1
+            yield pd.DataFrame([(*k, n, k[0] + k[1]) for k, n in out.items()], columns=["a", "b", "between", "p", "w"])
+
+    each = bodies.select("lines", "kinds", "open", "next_head").mapInPandas(pairs, "a string, b string, between string, p bigint, w string")
+    return durable(each.join(words.select("w"), "w", "left_semi").groupBy("a", "b", "between", "w").agg(F.sum("p").alias("p")))
+
+
+def _cut_words(bodies: DataFrame, held: DataFrame, torn: DataFrame) -> DataFrame:
+    """(tid, page_no, form, good, odds) of the neighbours on each page that are a word torn by a blank."""
+    torn = durable(torn)
+    on_page = held.join(torn.select(F.col("half").alias("form")).distinct(), "form", "left_semi").groupBy("tid", "page_no").agg(F.collect_set("form").alias("rare"))
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -356,18 +381,18 @@ def _cut_words(bodies: DataFrame, held: DataFrame, words: DataFrame) -> DataFram
                 for x, y in zip(pieces, pieces[1:], strict=False):
                     first, second = x.text.lower(), y.text.lower()
                     if y.before == " " and (first in few or second in few):
-                        out.append((t, p, f"{first} {second}", first + second))
-            yield pd.DataFrame(out, columns=["tid", "page_no", "form", "w"]).drop_duplicates()
+                        out.append((t, p, f"{first} {second}"))
+            yield pd.DataFrame(out, columns=["tid", "page_no", "form"]).drop_duplicates()
 
-    pairs = bodies.join(on_page, ["tid", "page_no"]).mapInPandas(neighbours, "tid string, page_no int, form string, w string")
-    return pairs.join(words.where(F.col("n") >= 20).select("w"), "w").select("tid", "page_no", "form", F.col("w").alias("good"), F.lit(3.0).alias("odds"))
+    pairs = bodies.join(on_page, ["tid", "page_no"]).mapInPandas(neighbours, "tid string, page_no int, form string")
+    return pairs.join(torn.select("form", "good"), "form").select("tid", "page_no", "form", "good", F.lit(3.0).alias("odds"))
 
 
 def _repaired(pages: DataFrame, rejoin: bool = False) -> DataFrame:
     """Page bodies with ``fix``, the map of those forms on the page that have corrections; with ``rejoin`` also of words that a
     blank cut in two, which no kind of damaged line asks for."""
     bodies = page_bodies(pages)
-    fixes, words = corrections(bodies)
+    fixes, torn = corrections(bodies)
     fixes = durable(fixes)
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,7 +402,7 @@ def _repaired(pages: DataFrame, rejoin: bool = False) -> DataFrame:
     held = bodies.mapInPandas(forms, "tid string, page_no int, form array<string>").select("tid", "page_no", F.explode("form").alias("form"))
     found = held.join(fixes, "form").select("tid", "page_no", "form", "good", "odds")
     if rejoin:
-        found = found.unionByName(_cut_words(bodies, held, words))
+        found = found.unionByName(_cut_words(bodies, held, torn))
     of_page = found.groupBy("tid", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("form", F.struct("good", "odds")))).alias("fix"))
     return bodies.join(of_page, ["tid", "page_no"], "left")
 
@@ -402,7 +427,7 @@ def damaged_lines(pages: DataFrame) -> DataFrame:
                 pieces, broken, words = _decode(*row)
                 found = {(k + 1, kind) for k, kind in enumerate(row[1]) if kind in ("header", "number")} | {(k, "hyphen") for k in broken}
                 for word, i, size in words:
-                    if size == 1 and " " not in word and word.lower() != pieces[i].text.lower():
+                    if size == 1 and not re.search(r"[ -]", word) and word.lower() != pieces[i].text.lower():
                         found |= {(k, "misread") for k in misread_lines(pieces[i], word) if k}
                     elif mixed_figures(pieces[i].text):
                         cut = pieces[i].cut
