@@ -21,7 +21,7 @@ from ..session import durable
 
 #: What a character or pair is misread as by scanners.
 CONFUSIONS = {
-    "a": ["o", "e", "@"], "b": ["h", "8"], "c": ["e", "o"], "d": ["cl"], "e": ["c", "o"], "f": ["t"], "g": ["q", "9"], "h": ["b", "li"], "i": ["1", "l", "|", "j"],
+    "a": ["o", "e", "@"], "b": ["h", "8", "6"], "c": ["e", "o"], "d": ["cl"], "e": ["c", "o"], "f": ["t"], "g": ["q", "9"], "h": ["b", "li"], "i": ["1", "l", "|", "j"],
     "l": ["1", "i", "|", "I"], "m": ["rn", "nn"], "n": ["ri"], "o": ["0", "c"], "q": ["g"], "r": ["i"], "s": ["5", "8"], "t": ["f"], "u": ["ii", "v"], "v": ["y"], "w": ["vv"],
     "y": ["v"], "z": ["2"], "rn": ["m"], "cl": ["d"], "ri": ["n"], "ii": ["u"], "ll": ["u"], "vv": ["w"], "nn": ["m"],
 }
@@ -29,6 +29,9 @@ HYPHENS = "-¬­‐"
 #: Characters that confusions lead to and from each other, each group as its first.
 _GROUPS = ["caeo0@", "bh8", "tf", "il1|j", "s5", "vy", "gq9", "z2"]
 _CLASS = str.maketrans("".join(_GROUPS), "".join(g[0] * len(g) for g in _GROUPS))
+#: The classes of all confusions closed under each other; "d" is one of the first class and a stroke, as "cl" is.
+_CLOSED = str.maketrans({**dict.fromkeys("aeo0@", "c"), **dict.fromkeys("l1|jrnmuvywbh86s5", "i"), "d": "ci", "q": "g", "9": "g", "f": "t", "2": "z"})
+_STROKES = re.compile("i+")
 _LONG = (("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("d", "ci"))
 _COUNT = r"(?:(?:page|pg|p)\.?\s*)?\d{1,5}(?:\s*(?:/|of)\s*\d{1,5})?|[ivxlc]{1,8}"
 _NUMBER = re.compile(rf"^(?:{_COUNT}|-+\s*(?:{_COUNT})\s*-+|[—–]\s*(?:{_COUNT})\s*[—–]|\[\s*(?:{_COUNT})\s*\]|\(\s*(?:{_COUNT})\s*\)|\d{{6,10}})$", re.IGNORECASE)
@@ -41,7 +44,13 @@ _EDGE, _HEAD = 3, 150
 
 
 def skeleton(word: str) -> str:
-    """Equal for words that confusions can turn into each other."""
+    """Equal for words that confusions can turn into each other, in one step or many: each letter as its class, and a run of what is
+    made of strokes as one stroke, since m, nn, rn, h, li, u, ii and v lead to each other whatever their number."""
+    return _STROKES.sub("i", word.lower().translate(_CLOSED))
+
+
+def shape(word: str) -> str:
+    """A finer key than ``skeleton``, of the commonest confusions only: running heads are near each other in it."""
     word = word.lower().translate(_CLASS)
     for a, b in _LONG:
         word = word.replace(a, b)
@@ -75,7 +84,7 @@ def head_key(line: str) -> str:
     for token in re.findall(r"[\w|]+", line):
         letters = sum(c.isalpha() for c in token)
         out.append(token.translate(_FIGURES) if 2 * letters > len(token) else re.sub(r"[\d|]", "", token))
-    return skeleton(re.sub(r"[\W\d_]+", "", "".join(out)))
+    return shape(re.sub(r"[\W\d_]+", "", "".join(out)))
 
 
 def is_number(line: str) -> bool:

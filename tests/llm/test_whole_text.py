@@ -1,6 +1,6 @@
 """Cases that text operators left out by counts or tables of their own."""
 
-from corpusloom.llm.scan_repair import damaged_lines, repaired_paragraphs
+from corpusloom.llm.scan_repair import CONFUSIONS, confused, damaged_lines, repaired_paragraphs, skeleton
 
 SCHEMA = "tid string, page_no int, text string"
 
@@ -13,3 +13,20 @@ def test_splits_and_merges_at_every_size(spark):
         df = spark.createDataFrame(pages, SCHEMA)
         assert {r["text"] for r in repaired_paragraphs(df).collect()} == {sound}, size
         assert damaged_lines(df).count() == 0
+
+
+def test_every_confusion_meets():
+    for true, seen in ((a, b) for a, bs in CONFUSIONS.items() for b in bs):
+        assert skeleton(true) == skeleton(seen), (true, seen)
+        for word in ("{}", "k{}p", "{0}x{0}", "an{}ic"):
+            assert skeleton(word.format(true)) == skeleton(word.format(seen)), (true, seen)
+            assert confused(word.format(true), word.format(seen)) is not None
+    assert skeleton("hybrid") == skeleton("hy6rld")
+
+
+def test_confusions_of_all_kinds_are_repaired(spark):
+    sound = "the hybrid plants of the summer were harvested under supervision."
+    pages = [("a", k, sound) for k in range(1, 31)] + [("a", 40, "tlie HY6RID plants of the sunnmer were harve8ted vnder supeivision.")]
+    df = spark.createDataFrame(pages, SCHEMA)
+    assert {r["text"] for r in repaired_paragraphs(df).where("page_no = 40").collect()} == {sound.replace("hybrid", "HYBRID")}
+    assert {r["kind"] for r in damaged_lines(df).where("page_no = 40").collect()} == {"misread"}
