@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CONTRACTIONS, expand_contractions, ngrams, tokens
 from ..operators import corpus as co
 from ..operators.archive import Archive
+from ..operators.timestamps import epoch_seconds
 from ..session import durable
 from .common import BASE, quoted
 
@@ -94,12 +95,25 @@ def text_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def timestamps_to_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Date and year of seconds since 1970, moved on by six hours."""
+    """Date and year of seconds since 1970, moved on by six hours. As its SQL has it, counts outside of the range of seconds, those in
+    other units too, give no row; ``counts_to_dates`` has every count."""
     moved = F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, timestamp + 21600)")
     rows = Archive(spark, d).docs.where("timestamp between -2200000000 and 1500000000").select("id", moved.alias("t"))
     return rows.select("id", F.year("t").alias("y"), F.date_format("t", "yyyy-MM-dd").alias("day"))
 
 
+def counts_to_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Date and year of every count since 1970, of whatever unit, moved on by six hours. The unit is the one that gives the doc's year in
+    its collection's home zone (UTC where that isn't known); a count that no unit brings into that year gives no row."""
+    a = Archive(spark, d)
+    zones = F.broadcast(a.raw("collections").select("collection_id", "home_zone"))
+    docs = a.docs.where("timestamp is not null").join(zones, "collection_id", "left")
+    seconds = epoch_seconds(F.col("timestamp"), F.col("year"), F.coalesce("home_zone", F.lit("UTC")))
+    moved = F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, s + 21600)")
+    rows = docs.select("id", seconds.alias("s")).where("s is not null").select("id", moved.alias("t"))
+    return rows.select("id", F.year("t").alias("y"), F.date_format("t", "yyyy-MM-dd").alias("day"))
+
+
 def token_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Stated token counts, filled in from the text where they are missing."""
     a = Archive(spark, d)
@@ -141,7 +155,7 @@ def title_trigrams(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     text_postings_docs, text_postings_sections, section_bigrams, section_token_ranges, bigram_counts, trigram_counts_min5, five_gram_counts_min5,
     unigram_validity, apriori_bigrams, apriori_trigrams, dense_doc_ids, section_map, doc_admission, eav_rows, eav_pivot, contraction_expansion,
-    token_reversal, text_lengths, text_slices, timestamps_to_dates, token_backfill, vocabulary_union, collection_short_names, latest_events, nation_long, title_trigrams,
+    token_reversal, text_lengths, text_slices, timestamps_to_dates, counts_to_dates, token_backfill, vocabulary_union, collection_short_names, latest_events, nation_long, title_trigrams,
 )}
 
 

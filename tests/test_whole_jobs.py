@@ -1,5 +1,7 @@
 """Queries that do the whole job where the SQL of a registered query is about a part of it."""
 
+from datetime import date, timedelta
+
 from corpusloom import plans
 from corpusloom.plans.common import BASE
 
@@ -30,3 +32,15 @@ def test_policies_of_every_ngram_and_collection(spark, data, duck):
     assert {len(t.split()) for _, t, _ in got} == {1, 2, 3}
     one = Q["policy_adoptions_by_collection"](spark, data).collect()
     assert len(one) == len({(r["collection_id"], r["token"]) for r in one}) == len({(c, t) for c, t, _ in got})
+
+
+def test_dates_of_every_unit(spark, data, duck):
+    got = {r["id"]: (r["y"], r["day"]) for r in Q["counts_to_dates"](spark, data).collect()}
+    part = {r["id"]: (r["y"], r["day"]) for r in Q["timestamps_to_dates"](spark, data).collect()}
+    stated = duck.sql("select distinct id, timestamp from docs where timestamp is not null").fetchall()
+    assert set(got) == {i for i, _ in stated} > set(part)
+    assert all(got[i] == day for i, day in part.items())
+    large = {i: t for i, t in stated if abs(t) > 10**11}
+    for i, t in large.items():
+        s = t // (10**6 if abs(t) > 10**14 else 1000) + 21600
+        assert got[i][1] == str(date(1970, 1, 1) + timedelta(days=s // 86400))
