@@ -1,22 +1,27 @@
 """Noise in text from scanned pages: continuous readable paragraphs from raw pages.
 
-Lines that only furnish the page (running heads and feet, page numbers, stamps) are told from body lines. The body lines of a page,
-with the word that runs over from it to the next page, form one stream without line ends, and a Viterbi search segments the
-stream into words: a piece can be a word as it stands, a word with confused characters, a word that a hyphen or a stray blank
-cut in two, or two words that ran together. Paragraph boundaries are those of least cost over the whole page, by dynamic programming.
+Lines that only furnish the page (running heads and feet, page numbers, stamps) are told from body lines. The body lines of a
+page, with the word that runs over to the next page, form one stream of characters without line ends. A lattice over that
+stream has an arc for every word as it stands, every word behind confused characters, every two words that ran together
+(each perhaps confused too), every word that stray blanks or a line-end hyphen cut, and every two words that stand beside
+each other; frequencies of words and of neighbours in the corpus weigh them, and a Viterbi search decides them together.
+Damaged lines are read off the best path. Paragraphs are the partition of a page's lines of least cost, by dynamic programming.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.corpus import numbered
 from ..session import durable
 
 #: What a character or pair is misread as by scanners.
@@ -26,21 +31,25 @@ CONFUSIONS = {
     "y": ["v"], "z": ["2"], "rn": ["m"], "cl": ["d"], "ri": ["n"], "ii": ["u"], "ll": ["u"], "vv": ["w"], "nn": ["m"],
 }
 HYPHENS = "-¬­‐"
-#: Characters that confusions lead to and from each other, each group as its first.
-_GROUPS = ["caeo0@", "bh8", "tf", "il1|j", "s5", "vy", "gq9", "z2"]
-_CLASS = str.maketrans("".join(_GROUPS), "".join(g[0] * len(g) for g in _GROUPS))
 #: The classes of all confusions closed under each other; "d" is one of the first class and a stroke, as "cl" is.
-_CLOSED = str.maketrans({**dict.fromkeys("aeo0@", "c"), **dict.fromkeys("l1|jrnmuvywbh86s5", "i"), "d": "ci", "q": "g", "9": "g", "f": "t", "2": "z"})
+_CLASSES = {"c": "aeo0@", "i": "l1|jrnmuvywbh86s5", "g": "q9", "t": "f", "z": "2"}
+_CLOSED = str.maketrans({**{c: k for k, cs in _CLASSES.items() for c in cs}, "d": "ci"})
 _STROKES = re.compile("i+")
-_LONG = (("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("d", "ci"))
 _COUNT = r"(?:(?:page|pg|p)\.?\s*)?\d{1,5}(?:\s*(?:/|of)\s*\d{1,5})?|[ivxlc]{1,8}"
 _NUMBER = re.compile(rf"^(?:{_COUNT}|-+\s*(?:{_COUNT})\s*-+|[—–]\s*(?:{_COUNT})\s*[—–]|\[\s*(?:{_COUNT})\s*\]|\(\s*(?:{_COUNT})\s*\)|\d{{6,10}})$", re.IGNORECASE)
 _STAMP = re.compile(r"^[A-Z]{1,5}[ -]?\d{5,12}$")
-_WORD = re.compile(r"(?:[^\W_]|\|(?=[^\W_]))(?:[^\W_]|[|'’](?=[^\W_]))*")
+_WORD = re.compile(r"\|?[^\W_]+(?:[|'’]+[^\W_]+)*")
+_COMPOUNDS = re.compile(rf"{_WORD.pattern}(?:-{_WORD.pattern})*")
+_LINE_END = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][^\S\n]*\n[^\S\n]*(?=[^\W_])")
 _ENDS = re.compile(rf"([^\W\d_])[{HYPHENS}]\s*$")
-_FIGURES = str.maketrans("|105", "Ilos")
-#: How many lines of an edge can be furniture, and how long a line of furniture can be: longer ones are text.
-_EDGE, _HEAD = 3, 150
+_CUT, _OPEN = re.compile(rf"[{HYPHENS}][^\S\n]*(?:\n\s*)+"), re.compile(rf"[{HYPHENS}]\s*$")
+_BLANK = (" ", "\n")
+_FIGURE_AMONG = re.compile(r"[\d|]")
+_CODE = re.compile(r"\d+(?:st|nd|rd|th|s|mm|cm|kg|g|m|x)|[a-z]\d+")
+_STOP = re.compile(r"[.!?][\"')]*$")
+#: Log-odds of the noisy channel: a word with one confusion and each further one, a confusion that leads one way only, words
+#: that ran together, a stray blank, a compound that breaks at its own hyphen without being known, a hyphen that is a dash.
+_CONFUSED, _FURTHER, _ONE_WAY, _MERGED, _TORN, _COMPOUND, _DASH = -math.log(4), -0.2, math.log(2), -math.log(10), -math.log(10), -3.0, -14.0
 
 
 def skeleton(word: str) -> str:
@@ -49,164 +58,273 @@ def skeleton(word: str) -> str:
     return _STROKES.sub("i", word.lower().translate(_CLOSED))
 
 
-def shape(word: str) -> str:
-    """A finer key than ``skeleton``, of the commonest confusions only: running heads are near each other in it."""
-    word = word.lower().translate(_CLASS)
-    for a, b in _LONG:
-        word = word.replace(a, b)
-    return word
+_ALONE = re.compile(r"(?<![^\W_]|\|)[\d|]+(?![^\W_]|\|)")
+_MARKS = re.compile(r"[^\w|@]|_")
+
+
+def line_key(line: str) -> int:
+    """A fingerprint of a line's skeleton, 0 without letters; figures that stand on their own are left out, as page numbers change."""
+    bare = skeleton(_MARKS.sub("", _ALONE.sub("", line)))
+    return int.from_bytes(hashlib.blake2b(bare.encode(), digest_size=8).digest(), "big", signed=True) if bare else 0
+
+
+#: What the first and the last character of a word can be read as.
+_FIRST = {c: {c} | {w[0] for k, ws in CONFUSIONS.items() if k[0] == c for w in ws} for c in {k[0] for k in CONFUSIONS}}
+_LAST = {c: {c} | {w[-1] for k, ws in CONFUSIONS.items() if k[-1] == c for w in ws} for c in {k[-1] for k in CONFUSIONS}}
 
 
-@lru_cache(100_000)
 def confused(true: str, seen: str) -> int | None:
     """The least number of confusions that turn ``true`` into ``seen``; None if none do."""
-    rows = {0: {0: 0}}
-    for i in range(len(true) + 1):
-        for j, cost in sorted(rows.get(i, {}).items()):
-            if i < len(true) and j < len(seen) and true[i] == seen[j]:
-                at = rows.setdefault(i + 1, {})
-                at[j + 1] = min(at.get(j + 1, 99), cost)
-            for size in (1, 2):
-                for wrong in CONFUSIONS.get(true[i : i + size], ()) if i + size <= len(true) else ():
-                    if seen.startswith(wrong, j):
-                        at = rows.setdefault(i + size, {})
-                        at[j + len(wrong)] = min(at.get(j + len(wrong), 99), cost + 1)
-    return rows.get(len(true), {}).get(len(seen))
+    if not true or not seen:
+        return 0 if true == seen else None
+    if seen[0] not in _FIRST.get(true[0], true[0]) or seen[-1] not in _LAST.get(true[-1], true[-1]):
+        return None
+    now: dict[int, int] = {0: 0}
+    ahead: dict[int, int] = {}
+    for i, c in enumerate(true):
+        later: dict[int, int] = {}
+        single, double = CONFUSIONS.get(c, ()), CONFUSIONS.get(true[i : i + 2], ())
+        for j, cost in now.items():
+            if seen.startswith(c, j):
+                ahead[j + 1] = min(ahead.get(j + 1, 99), cost)
+            for wrong in single:
+                if seen.startswith(wrong, j):
+                    k = j + len(wrong)
+                    ahead[k] = min(ahead.get(k, 99), cost + 1)
+            for wrong in double if i + 1 < len(true) else ():
+                if seen.startswith(wrong, j):
+                    k = j + len(wrong)
+                    later[k] = min(later.get(k, 99), cost + 1)
+        now, ahead = ahead, later
+        if not now and not ahead:
+            return None
+    return now.get(len(seen))
 
 
 def lines_of(text: str) -> list[str]:
     return [x.rstrip("\r") for x in text.split("\n")]
 
 
-def head_key(line: str) -> str:
-    """What of an edge line recurs: its letters as classes of confusion, without figures."""
-    out = []
-    for token in re.findall(r"[\w|]+", line):
-        letters = sum(c.isalpha() for c in token)
-        out.append(token.translate(_FIGURES) if 2 * letters > len(token) else re.sub(r"[\d|]", "", token))
-    return shape(re.sub(r"[\W\d_]+", "", "".join(out)))
-
-
 def is_number(line: str) -> bool:
     text = line.strip()
     return bool(text) and bool(_NUMBER.match(text) or _STAMP.match(text))
 
 
-def edges(text: str) -> list[tuple[int, str, bool]]:
-    """(line number from 1, key, at the top) of the outermost lines that could be running heads or feet."""
-    lines = lines_of(text)
-    full = [k for k, x in enumerate(lines) if x.strip()]
+def mixed_figures(word: str) -> bool:
+    """Figures or bars among small letters, which no word or code has."""
+    return bool(_FIGURE_AMONG.search(word)) and word.upper() != word and not _CODE.fullmatch(word.lower())
+
+
+def kinds_of(lines: list[str], recurring: set[int]) -> list[str]:
+    """``header``, ``number``, ``body`` or empty for each line. ``recurring`` are the numbers of lines (from 1) that recur on pages
+    of the document; they are furniture if nothing but furniture lies between them and the page's edge, however many they are.
+    A page of nothing else keeps those that end a sentence as its body."""
+    kinds = ["" if not x.strip() else "number" if is_number(x) else "body" for x in lines]
+    for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        for k in order:
+            if kinds[k] == "body":
+                if k + 1 not in recurring:
+                    break
+                kinds[k] = "header"
+    if "body" not in kinds:
+        kinds = ["body" if kind == "header" and _STOP.search(x.rstrip()) else kind for kind, x in zip(kinds, lines, strict=True)]
+    return kinds
+
+
+class Stream:
+    """The runs of word characters of a page's body in order: ``texts``, the ``lines`` they stand on (0 for what stands on the next
+    page), the ``gaps`` before each and behind the last (line ends as such), and ``cut``, those that a line-end hyphen joins to the one before."""
+
+    __slots__ = ("cut", "gaps", "lines", "texts")
+
+    def __init__(self, body: str, numbers: list[int], following: str | None = None, runs_on: bool = False):
+        """A line that ends in a letter and a hyphen runs on in the next line of body. With ``runs_on`` the last one does in
+        ``following``, the first run of the next page, or in nothing if that is unknown."""
+        self.texts, self.gaps = _WORD.findall(body), _WORD.split(body)
+        self.lines, self.cut = [], set()
+        at = 0
+        for k in [k for k, gap in enumerate(self.gaps) if "\n" in gap]:
+            gap = self.gaps[k]
+            self.lines += [numbers[at]] * (k - len(self.lines))
+            at += gap.count("\n")
+            if k and gap[0] in HYPHENS and k < len(self.texts) and _CUT.fullmatch(gap) and self.texts[k - 1][-1].isalpha():
+                self.cut.add(k)
+        self.lines += [numbers[at]] * (len(self.texts) - len(self.lines)) if self.texts else []
+        if runs_on and self.texts and _OPEN.match(self.gaps[-1]):
+            self.cut.add(len(self.texts))
+            self.texts.append(following or "")
+            self.lines.append(0)
+            self.gaps.append("")
+
+
+class Lexicon:
+    """Counts of words and of neighbours, and the best reading of any form by itself, found once and kept."""
+
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: float, rare: float):
+        self.words, self.pairs, self.total = words, pairs, max(total, 1.0)
+        self.least = max(rare / 2, 0.5)
+        self.groups: dict[str, list[tuple[int, str]]] = {}
+        for w, n in words.items():
+            if not (mixed_figures(w) or w.isdigit() or "-" in w):
+                self.groups.setdefault(skeleton(w), []).append((n, w))
+        for g in self.groups.values():
+            g.sort(key=lambda x: (-x[0], x[1]))
+        self.known: dict[str, tuple[float, tuple[str, ...], bool]] = {}
+        self.plain: set[str] = set()
+
+    def stands(self, form: str) -> float:
+        """Log-probability of a form as a word of its own."""
+        return math.log(self.words.get(form, self.least) / self.total)
+
+    def beside(self, a: str, b: str) -> float:
+        """Log-probability of two words beside each other: by their own count, or by chance if that is more."""
+        chance = self.words.get(a, self.least) * self.words.get(b, self.least) / self.total
+        return math.log(max(self.pairs.get((a, b), 0), chance) / self.total)
+
+    def single(self, form: str, least: float = -math.inf) -> tuple[float, str]:
+        """(score, word) of the best word behind a form's confused characters, if it scores more than ``least``."""
+        best = (least, form)
+        if len(form) < 2 or form.isdigit():
+            return best
+        figures = mixed_figures(form)
+        for n, w in self.groups.get(skeleton(form), ()):
+            top = math.log(n / self.total) + _CONFUSED + _ONE_WAY
+            if top <= best[0]:
+                break
+            if w != form and (steps := confused(w, form)) is not None:
+                score = top + _FURTHER * (steps - 1) - (0.0 if figures or confused(form, w) is None else _ONE_WAY)
+                if score > best[0]:
+                    best = (score, w)
+        return best
+
+    def read(self, form: str) -> tuple[float, tuple[str, ...], bool]:
+        """(score, words, misread) of the best path through a form's own lattice: as it stands, confused, or run together."""
+        got = self.known.get(form)
+        if got is None:
+            got = self.known[form] = self._read(form)
+        return got
+
+    def stands_alone(self, form: str) -> bool:
+        """Whether a form is a known word that nothing else explains better, and holds no figures among its letters."""
+        score, words, misread = self.read(form)
+        sure = form in self.words and not misread and words == (form,) and (form.isdigit() or not _FIGURE_AMONG.search(form) or bool(_CODE.fullmatch(form)))
+        if sure:
+            self.plain.add(form)
+        return sure
+
+    def _read(self, form: str) -> tuple[float, tuple[str, ...], bool]:
+        best = (self.stands(form), (form,), False)
+        score, word = self.single(form, best[0])
+        if score > best[0]:
+            best = (score, (word,), True)
+        if not 5 <= len(form) <= 80 or "'" in form or form.isdigit():
+            return best
+        for k in range(2, len(form) - 1):
+            a, b = form[:k], form[k:]
+            if a in self.words and b in self.words:
+                score = self.beside(a, b) + _MERGED
+                if (a, b) in self.pairs or not (_FIGURE_AMONG.search(a) or _FIGURE_AMONG.search(b)):
+                    joint = f"{a}-{b}"
+                    if self.words.get(joint, 0) and self.stands(joint) + _MERGED > max(score, best[0]):
+                        best = (self.stands(joint) + _MERGED, (joint,), False)
+                    elif score > best[0]:
+                        best = (score, (a, b), False)
+                continue
+            tops = [self.groups.get(skeleton(x)) for x in (a, b)]
+            if None in tops or sum(math.log(t[0][0] / self.total) for t in tops) + _MERGED + _CONFUSED <= best[0]:
+                continue
+            parts = [(self.stands(x), x) if x in self.words else self.single(x) for x in (a, b)]
+            score = sum(p[0] for p in parts) + _MERGED
+            if score > best[0]:
+                best = (score, (parts[0][1], parts[1][1]), True)
+        return best
+
+
+#: An arc of the best path: (first atom, number of atoms, words, misread, kind), kind being word, cut, compound, torn or apart.
+#: An atom is a run of word characters of the stream.
+Arc = tuple[int, int, tuple[str, ...], bool, str]
+
+
+def decode(run: Stream, lexicon: Lexicon) -> list[Arc]:
+    """The arcs of the best path through the stream, but those of single atoms that stand as they are.
+
+    Word, confusion and merge arcs lie over one atom, those of blanks and hyphens over two or three. Atoms that nothing but their
+    own word arc touches are on every path, so the search runs through the stretches between them.
+    """
+    gaps, cut, plain, words = run.gaps, run.cut, lexicon.plain, lexicon.words
+    forms = [t.lower() for t in run.texts]
+    n = len(forms)
+    odd = {i for i, f in enumerate(forms) if f not in plain and not lexicon.stands_alone(f)}
+    spans = {i - 1 for i in cut} | {i for i, ab in enumerate(map(str.__add__, forms, forms[1:])) if ab in words and gaps[i + 1] in _BLANK}
+    spans |= {k for i in odd for k in (i - 1, i) if 0 <= k < n - 1 and gaps[k + 1] in _BLANK}
+    stretch = sorted(odd | {k for i in spans for k in (i, i + 1, i + 2) if k < n})
+    path: list[Arc] = []
+    at = 0
+    while at < len(stretch):
+        end = at + 1
+        while end < len(stretch) and stretch[end] == stretch[end - 1] + 1:
+            end += 1
+        first, last = stretch[at], stretch[end - 1] + 1
+        at = end
+        best: list[float] = [0.0] + [-math.inf] * (last - first)
+        back: list[Arc | None] = [None] * (last - first + 1)
+        for i in range(first, last):
+            score, reading, misread = lexicon.read(forms[i])
+            text = run.texts[i]
+            if not misread and i in odd and _FIGURE_AMONG.search(text) and mixed_figures(text):
+                misread = True  # no word or code stands like this, whatever it should be
+            arcs = [(1, score + (_DASH if i in cut else 0.0), reading, misread, "word")]
+            if i in spans:
+                arcs += _arcs(i, last, forms, gaps, cut, odd, lexicon)
+            for size, gain, *rest in arcs:
+                if best[i - first] + gain > best[i - first + size]:
+                    best[i - first + size], back[i - first + size] = best[i - first] + gain, (i, size, *rest)
+        part, k = [], last - first
+        while k:
+            arc = back[k]
+            if arc[1] > 1 or arc[3] or arc[2] != (forms[arc[0]],):
+                part.append(arc)
+            k -= arc[1]
+        path.extend(reversed(part))
+    return path
+
+
+def _arcs(i: int, last: int, forms: list[str], gaps: list[str], cut: set[int], odd: set[int], lexicon: Lexicon) -> list[tuple]:
+    """(atoms, score, words, misread, kind) of the arcs over two or three atoms from atom ``i``, before atom ``last``."""
     out = []
-    for top, part in ((True, full[:_EDGE]), (False, full[-_EDGE:])):
-        for k in part:
-            line = lines[k].strip()
-            if not is_number(line) and not re.search(r"[.;,:]\s*$|[.]\"$", line) and 4 < len(key := head_key(line[:_HEAD])) and len(line) <= _HEAD:
-                out.append((k + 1, key, top))
+    joined, any_odd, torn = forms[i], i in odd, 0.0
+    for j in (i + 1, i + 2):
+        if j >= last or not (j in cut or gaps[j] in _BLANK and not forms[j].isdigit() and not forms[j - 1].isdigit()):
+            break
+        joined += forms[j]
+        any_odd = any_odd or j in odd
+        torn += 0.0 if j in cut else _TORN
+        hyphen = any(k in cut for k in range(i + 1, j + 1))
+        if hyphen or joined in lexicon.words or any_odd and skeleton(joined) in lexicon.groups:
+            score, words, misread = lexicon.read(joined)
+            if torn == 0.0 or len(words) == 1 and (misread or joined in lexicon.words):
+                out.append((j - i + 1, score + torn, words, misread, "cut" if hyphen else "torn"))
+        if j == i + 1 and hyphen:
+            compound = f"{forms[i]}-{forms[j]}"
+            if compound in lexicon.words:
+                out.append((2, lexicon.stands(compound), (compound,), False, "compound"))
+            else:
+                a, b = lexicon.read(forms[i]), lexicon.read(forms[j])
+                out.append((2, a[0] + b[0] + _COMPOUND, ("-".join(a[1] + b[1]),), a[2] or b[2], "compound"))
+        elif j == i + 1 and (forms[i], forms[j]) in lexicon.pairs:
+            out.append((2, lexicon.beside(forms[i], forms[j]), (forms[i], forms[j]), False, "apart"))
     return out
 
 
-def kinds_of(lines: list[str], heads: set[int]) -> list[str]:
-    """``header``, ``number``, ``body`` or empty for each line."""
-    return ["header" if k + 1 in heads else "" if not x.strip() else "number" if is_number(x) else "body" for k, x in enumerate(lines)]
-
-
-class Piece:
-    """A word of the stream: its form without a line end, the lines it stands on and where it is cut."""
-
-    __slots__ = ("before", "cut", "end", "first", "last", "mark", "text")
-
-    def __init__(self, text: str, first: int, last: int, cut: int, before: str, end: int, mark: str = ""):
-        self.text, self.first, self.last, self.cut, self.before, self.end, self.mark = text, first, last, cut, before, end, mark
-
-
-def stream(lines: list[str], kinds: list[str], next_head: str | None) -> tuple[list[Piece], list[int]]:
-    """The pieces of a page's body in order, and the numbers of the lines that end within a word.
-
-    ``before`` of a piece is the text between it and the last one (a line end counts as a blank). A page's first piece may go on from
-    the page before; ``next_head`` is the first piece of the next page, if this page ends within a word.
-    """
-    pieces: list[Piece] = []
-    broken: list[int] = []
-    open_piece: Piece | None = None
-    gap = ""
-    for k, line in enumerate(lines):
-        if kinds[k] != "body":
-            continue
-        hyphen = _ENDS.search(line)
-        body = line[: hyphen.start() + 1] if hyphen else line
-        end = 0
-        for m in _WORD.finditer(body):
-            if open_piece is not None:
-                if not body[: m.start()].strip():
-                    open_piece.cut = len(open_piece.text)
-                    open_piece.text += m.group()
-                    open_piece.last = k + 1
-                    broken.append(open_piece.first)
-                    open_piece, end = None, m.end()
-                    continue
-                open_piece = None
-            pieces.append(Piece(m.group(), k + 1, k + 1, 0, gap + body[end : m.start()], m.end()))
-            gap, end = "", m.end()
-        gap += body[end:] + ("" if hyphen else " ")
-        if hyphen and pieces and not body[end:]:
-            if pieces[-1].last == k + 1:
-                open_piece = pieces[-1] if pieces[-1].first == k + 1 else None
-                if open_piece is None:  # the end of a word that began a line earlier and goes on
-                    open_piece = pieces[-1]
-                    open_piece.first = k + 1
-                pieces[-1].mark = hyphen.group()[1:].strip()
-    if open_piece is not None:
-        broken.append(open_piece.first)
-        if next_head:
-            open_piece.cut = len(open_piece.text)
-            open_piece.text += next_head
-            open_piece.last = 0
-    return pieces, broken
-
-
-def first_piece(lines: list[str], kinds: list[str]) -> str | None:
-    for k, line in enumerate(lines):
-        if kinds[k] == "body":
-            m = _WORD.match(line.lstrip())
-            return m.group() if m else None
-    return None
-
-
-def ends_open(lines: list[str], kinds: list[str]) -> bool:
-    body = [x for x, k in zip(lines, kinds, strict=True) if k == "body"]
-    return bool(body) and bool(_ENDS.search(body[-1]))
-
-
-def mixed_figures(word: str) -> bool:
-    """Figures or bars among small letters, which no word or code has."""
-    return bool(re.search(r"[a-z]", word) and re.search(r"[\d|]", word) and not re.fullmatch(r"\d+(?:st|nd|rd|th|s|mm|cm|kg|g|m|x)|[a-z]\d+", word.lower()))
-
-
-def likelihood(n: float, total: float) -> float:
-    return math.log((n + 0.1) / (total + 1.0))
-
-
-def decode(pieces: list[Piece], fixes: dict[str, tuple[str, float]], total: float) -> list[tuple[str, int, int]]:
-    """The likeliest words of a stream: (word, first piece, pieces). ``fixes`` gives for a form (a piece, or two with a blank between)
-    its likeliest other form and that form's log-odds over the form as it stands; forms that aren't in it stand as they are."""
-    n = len(pieces)
-    best: list[tuple[float, list]] = [(0.0, [])] + [(-math.inf, [])] * n
-    for i in range(n):
-        score, path = best[i]
-        form = pieces[i].text.lower()
-        options = [(0.0, pieces[i].text, 1)]
-        if form in fixes:
-            options.append((fixes[form][1], fixes[form][0], 1))
-        if i + 1 < n and pieces[i + 1].before == " " and (pair := f"{form} {pieces[i + 1].text.lower()}") in fixes:
-            options.append((fixes[pair][1], fixes[pair][0], 2))
-        for gain, word, size in options:
-            if score + gain > best[i + size][0]:
-                best[i + size] = (score + gain, [path, (word, i, size)])
-    out, node = [], best[n][1]
-    while node:
-        out.append(node[1])
-        node = node[0]
-    return out[::-1]
+def misread_atoms(run: Stream, arc: Arc) -> list[int]:
+    """The atoms of a misread arc that differ from its true words."""
+    i, size, words, *_ = arc
+    if size == 1:
+        return [i]
+    true = "".join(words).replace("-", "")
+    part = [t.lower() for t in run.texts[i : i + size]]
+    wrong = [not true.startswith(part[0]), *(x not in true for x in part[1:-1]), not true.endswith(part[-1])]
+    return [i + k for k, w in enumerate(wrong) if w] or [i]
 
 
 def like_case(word: str, model: str) -> str:
@@ -216,210 +334,176 @@ def like_case(word: str, model: str) -> str:
     return word[:1].upper() + word[1:] if model[:1].isupper() or model[:1] == "|" else word
 
 
-def misread_lines(piece: Piece, true: str) -> set[int]:
-    """The lines on which a piece differs from its true form."""
-    if not piece.cut:
-        return {piece.first}
-    seen, true = piece.text.lower(), true.lower()
-    out = set()
-    if not true.startswith(seen[: piece.cut]):
-        out.add(piece.first)
-    if not true.endswith(seen[piece.cut :]):
-        out.add(piece.last)
-    return out or {piece.first}
-
-
-def paragraphs(lines: list[str], kinds: list[str]) -> list[list[int]]:
-    """Body lines (from 0) by paragraph: the partition of least cost. Starting a paragraph costs a little; not starting one at a
-    blank line, after a short line that ends a sentence or at an indent costs more; starting one within a sentence costs most."""
-    body = [k for k, kind in enumerate(kinds) if kind == "body"]
-    if not body:
+def shown(run: Stream, arc: Arc) -> str:
+    """An arc's words as they should be printed."""
+    i, size, words, _, kind = arc
+    part = run.texts[i : i + size]
+    raw = "".join(part)
+    if kind == "apart":
+        return " ".join(part)
+    if words == (raw.lower(),):
+        return raw
+    out, at = [], 0
+    for w in words:  # each word after the case of the stretch it stands for
+        out.append(like_case(w, raw[at : at + len(w)] or raw))
+        at += len(w)
+    return " ".join(out)
+
+
+def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
+    """[first, last) of every paragraph over the non-blank lines of ``lines``, counted in lines that aren't blank.
+
+    The partition of least cost. A paragraph pays for starting (less behind a blank line or at an indent, more within a sentence
+    or a cut word), for blank lines within it, and for every line but its last that falls short of the paragraph's own measure, its
+    longest line; so whether a line ends a paragraph depends on all the lines that it would share one with.
+    """
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    n = len(full)
+    if not n:
         return []
-    width = sorted(len(lines[k].rstrip()) for k in body)[int(len(body) * 0.75)]
-    breaks = [0.0]
-    for a, b in zip(body, body[1:], strict=False):
-        x, y = lines[a].rstrip(), lines[b]
-        blank = any(not lines[k].strip() for k in range(a + 1, b))
-        room = len(x) + 1 + len(y.split()[0]) <= width
-        stop = bool(re.search(r"[.!?][\"')]*$", x))
-        indent = len(y) - len(y.lstrip()) >= 2 and len(x) - len(x.lstrip()) < 2
-        start = y.lstrip()[:1].isupper() or not y.lstrip()[:1].isalpha()
-        odds = -2.0 + 3.0 * blank + 2.0 * (room and stop) + 2.0 * indent + (0.5 if stop else -3.0) - 2.0 * (not start) - 6.0 * bool(_ENDS.search(x))
-        breaks.append(odds)
-    held = [0.0]  # cost of not breaking at any of the first k boundaries
-    for odds in breaks[1:]:
-        held.append(held[-1] + max(odds, 0.0))
-    cost, back, best = 0.0, [0] * (len(body) + 1), (math.inf, 0)
-    for j in range(1, len(body) + 1):
-        i = j - 1  # the last paragraph begins at line i, or where the best of the earlier ones does
-        best = min(best, (cost + (max(-breaks[i], 0.0) if i else 0.0) - held[i], i))
-        cost, back[j] = best[0] + held[j - 1], best[1]
-    cuts, j = [], len(body)
+    text = [lines[k].rstrip() for k in full]
+    lead = np.array([len(x) - len(x.lstrip()) for x in text])
+    width = np.array([len(x) for x in text], float)
+    blank = np.array([0.0] + [float(b - a > 1) for a, b in zip(full, full[1:], strict=False)])
+    stop = [bool(_STOP.search(x)) for x in text]
+    start = np.zeros(n)
+    for k in range(1, n):
+        word = text[k].lstrip()[:1]
+        within = -0.5 if stop[k - 1] else 3.0
+        indent = lead[k] - lead[k - 1] >= 2
+        start[k] = 2.0 + within + 2.0 * (not (word.isupper() or not word.isalpha())) - 2.0 * indent + 6.0 * bool(_ENDS.search(text[k - 1]))
+    inner = np.concatenate([[0.0], np.cumsum(4.0 * blank)])  # blank lines before line k
+    weight = np.where(stop, 16.0, 6.0)  # a short line that ends a sentence says more than one that doesn't
+    ones, sums, squares = (np.concatenate([[0.0], np.cumsum(weight * x)]) for x in (1.0, width, width * width))
+    back, base, measure = [0] * (n + 1), np.zeros(n), np.zeros(n)
+    base[0] = -inner[1]
+    for j in range(1, n + 1):
+        measure[:j] = np.maximum(measure[:j], width[j - 1])
+        w = measure[:j]
+        # the squared shortfalls of lines i to j - 2 against w, by running sums
+        total = base[:j] - ones[:j] + ((squares[j - 1] - squares[:j]) / w - 2 * (sums[j - 1] - sums[:j])) / w
+        back[j] = k = int(np.argmin(total))
+        if j < n:
+            base[j] = total[k] + ones[j - 1] + inner[j] + start[j] - inner[j + 1]
+    cuts, j = [], n
     while j:
         cuts.append((back[j], j))
         j = back[j]
-    return [body[i:j] for i, j in reversed(cuts)]
-
+    return cuts[::-1]
 
-_BODY = "tid string, page_no int, lines array<string>, kinds array<string>, head string, open boolean"
 
+def page_bodies(pages: DataFrame, min_pages: int = 2, min_share: float = 1 / 3, stop_pages: float = 1.5) -> DataFrame:
+    """(tid, page_no, body, numbers, marks, next_head, next_line, carried) of every page with a text, furniture told from body.
 
-def page_bodies(pages: DataFrame, min_pages: int = 2) -> DataFrame:
-    """(tid, page_no, lines, kinds, head, open, next_head) of every page with a text, furniture told from body.
-
-    A line is a running head or foot if its letters, up to confusions, recur at the same edge of at least ``min_pages`` pages of
-    the tid. Pages are counted by (tid, key) before anything is gathered, so a tid with a third of all pages is no hot group.
+    ``body`` are the lines that aren't furniture with their ``numbers``, ``marks`` the (line_no, kind) of furniture. A line is a
+    running head or foot if its letters, up to confusions, recur on at least ``min_pages`` pages and ``min_share`` of the tid's
+    pages, and only furniture lies between it and the page's edge; a full stop at its end speaks against it as much as
+    ``stop_pages`` further pages speak for it. Lines are counted by (tid, key) before anything is gathered and meet their
+    counts by equality, so a tid with a third of all pages is no hot group.
     """
     texts = pages.select("tid", "page_no", "text").where("text is not null and tid is not null and page_no is not null").groupBy("tid", "page_no").agg(F.min("text").alias("text"))
+    texts = durable(texts)
 
-    def find_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, p, *e) for t, p, x in zip(b["tid"], b["page_no"], b["text"], strict=True) for e in edges(x)]
-            yield pd.DataFrame(rows, columns=["tid", "page_no", "line_no", "key", "top"])
+            out = [(t, p, k + 1, key, bool(_STOP.search(x.rstrip()))) for t, p, text in zip(b["tid"], b["page_no"], b["text"], strict=True) for k, x in enumerate(text.split("\n")) if (key := line_key(x))]
+            yield pd.DataFrame(out, columns=["tid", "page_no", "line_no", "key", "stop"])
 
-    edge = durable(texts.mapInPandas(find_edges, "tid string, page_no int, line_no int, key string, top boolean"))
-    recur = edge.select("tid", "key", "top", "page_no").distinct().groupBy("tid", "key", "top").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    known = recur.select("tid", "top", F.col("key").alias("k"))
-    near = F.levenshtein("key", "k") <= F.greatest(F.lit(1), F.length("k") / 8)
-    heads = edge.join(known, ["tid", "top"]).where((F.col("key") == F.col("k")) | near).groupBy("tid", "page_no").agg(F.collect_set("line_no").alias("heads"))
+    line = texts.mapInPandas(keys, "tid string, page_no int, line_no int, key bigint, stop boolean").withColumn("stop", F.col("stop").cast("int"))
+    total = texts.groupBy("tid").agg(F.count("*").alias("of"))
+    recur = line.groupBy("tid", "key", "page_no").agg(F.max("stop").alias("stop")).groupBy("tid", "key").agg(F.count("*").alias("pages"), F.avg("stop").alias("stop")).where(F.col("pages") >= min_pages)
+    heads = recur.join(total, "tid").where((F.col("pages") >= F.col("of") * min_share) & (F.col("pages") - 1 > F.col("stop") * stop_pages)).select("tid", "key")
+    found = line.join(heads, ["tid", "key"], "left_semi").groupBy("tid", "page_no").agg(F.collect_set("line_no").alias("recurring"))
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, p, x, h in zip(b["tid"], b["page_no"], b["text"], b["heads"], strict=True):
+            for t, p, x, found in zip(b["tid"], b["page_no"], b["text"], b["recurring"], strict=True):
                 lines = lines_of(x)
-                kinds = kinds_of(lines, set(h) if h is not None else set())
-                out.append((t, p, lines, kinds, first_piece(lines, kinds), ends_open(lines, kinds)))
-            yield pd.DataFrame(out, columns=["tid", "page_no", "lines", "kinds", "head", "open"])
-
-    bodies = durable(texts.join(heads, ["tid", "page_no"], "left").mapInPandas(tell, _BODY))
-    following = bodies.select("tid", (F.col("page_no") - 1).alias("page_no"), F.col("head").alias("next_head"))
-    return bodies.join(following, ["tid", "page_no"], "left")
-
-
-def _pieces(lines, kinds, opened, head) -> tuple[list[Piece], list[int]]:
-    return stream(list(lines), list(kinds), head if opened else None)
-
-
-def corrections(bodies: DataFrame, ratio: float = 4.0, times: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """(form, good, odds) of forms of the corpus that are likelier another word or two, and (form, good, half) of neighbours that are
-    likelier one word torn by a blank, with the rarer half.
-
-    Words are counted over all pages. Two words meet only if their skeletons are equal, and only the more frequent corrects the
-    other: ``ratio`` times as frequent, or half of that where confusions lead one way only. Rare forms that are two
-    frequent words run together are candidates too.
+                kinds = kinds_of(lines, set(found) if found is not None else set())
+                keep = [k for k, kind in enumerate(kinds) if kind in ("", "body")]
+                body = [lines[k] for k in keep]
+                full = [k for k in keep if kinds[k] == "body"]
+                head = _WORD.match(lines[full[0]].lstrip()) if full else None
+                out.append((t, p, "\n".join(body), [k + 1 for k in keep], [{"line_no": k + 1, "kind": kind} for k, kind in enumerate(kinds) if kind in ("header", "number")],
+                            head.group() if head else None, full[0] + 1 if full else None, bool(full) and bool(_ENDS.search(lines[full[-1]]))))
+            yield pd.DataFrame(out, columns=["tid", "page_no", "body", "numbers", "marks", "head", "first", "open"])
+
+    kind = "tid string, page_no int, body string, numbers array<int>, marks array<struct<line_no:int,kind:string>>, head string, first int, open boolean"
+    bodies = durable(texts.join(found, ["tid", "page_no"], "left").mapInPandas(tell, kind))
+    none = F.lit(None)
+    ahead = bodies.where("head is not null").select("tid", (F.col("page_no") - 1).alias("page_no"), "head", "first", F.lit(False).alias("carried"))
+    behind = bodies.where("open").select("tid", (F.col("page_no") + 1).alias("page_no"), none.cast("string").alias("head"), none.cast("int").alias("first"), F.lit(True).alias("carried"))
+    around = ahead.unionByName(behind).groupBy("tid", "page_no").agg(F.max("head").alias("next_head"), F.max("first").alias("next_line"), F.max("carried").alias("carried"))
+    return bodies.drop("head", "first").join(around, ["tid", "page_no"], "left")
+
+
+def corpus_lexicon(bodies: DataFrame, least_share: float = 1e-6) -> tuple[list[tuple[str, int]], list[tuple[str, str, int]], float, float]:
+    """(words, pairs, total, rare): the counts of all forms, and of all neighbours that would be a form as one word, whose share of
+    the corpus is at least ``least_share``, so there are at most 1 / ``least_share`` of each, however large the corpus.
+
+    Words cut by a line-end hyphen count as one; compounds count as themselves and as their parts. Every page counts.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: dict[str, int] = {}
-            for row in zip(b["lines"], b["kinds"], b["open"], b["next_head"], strict=True):
-                for p in _pieces(*row)[0]:
-                    w = p.text.lower()
-                    out[w] = out.get(w, 0) + 1
-            yield pd.DataFrame({"w": list(out), "n": list(out.values())})
+            found: Counter[str] = Counter()
+            for body in b["body"]:
+                found.update(_COMPOUNDS.findall(_LINE_END.sub("", body.lower())))
+            yield pd.DataFrame({"w": list(found), "n": list(found.values())})
+
+    joined = durable(bodies.select("body").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    parts = F.when(F.col("w").contains("-"), F.array_append(F.split("w", "-"), F.col("w"))).otherwise(F.array("w"))
+    words = joined.select(F.explode(parts).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    total = float(joined.agg(F.sum("n")).first()[0] or 0)
+    rare = total * least_share
+    kept = [tuple(r) for r in words.where(F.col("n") >= rare).collect()]
+    listed = bodies.sparkSession.sparkContext.broadcast(frozenset(w for w, _ in kept))
 
-    counted = bodies.select("lines", "kinds", "open", "next_head").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(s=[skeleton(w) for w in b["w"]])
-
-    words = durable(counted.mapInPandas(classify, "w string, n bigint, s string"))
-    total = float(words.agg(F.sum("n")).first()[0] or 0)
-    good = words.select("s", F.col("w").alias("good"), F.col("n").alias("m"))
-    met = words.where(F.length("w") > 1).join(good, "s").where(F.col("m") >= F.col("n") * ratio / 2).where("w <> good")
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for w, n, g, m in zip(b["w"], b["n"], b["good"], b["m"], strict=True):
-                steps = confused(g, w)
-                if steps is None or mixed_figures(g) or g.isdigit() or w.isdigit():
-                    continue
-                one_way = confused(w, g) is None or mixed_figures(w)
-                if m >= n * ratio or one_way and (m >= n * ratio / 2):
-                    out.append((w, g, math.log(m / n) - 0.2 * steps + (1.0 if one_way else 0.0)))
-            yield pd.DataFrame(out, columns=["form", "good", "odds"])
-
-    kind = "form string, good string, odds double"
-    swapped = met.select("w", "n", "good", "m").mapInPandas(weigh, kind)
-    beside = _beside(bodies, words)
-    whole = words.where(F.length("w").between(5, 40) & ~F.col("w").rlike(r"[\d|]"))
-    cut = whole.select(F.col("w").alias("form"), "n", F.explode(F.sequence(F.lit(2), F.length("w") - 2)).alias("k"))
-    halves = cut.select("form", F.col("n").alias("f"), F.expr("substring(form, 1, k)").alias("a"), F.expr("substring(form, k + 1)").alias("b"))
-    joined = halves.join(words.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
-    seen = beside.groupBy("a", "b").agg(F.sum("p").alias("p"), F.max_by("between", "p").alias("between"))
-    read = joined.join(seen, ["a", "b"], "left").withColumn("odds", F.ln(F.when(F.least("na", "nb") >= F.col("f") * times, F.greatest(F.col("na") * F.col("nb") / (total + 1.0), F.coalesce("p", F.lit(0)))).otherwise(F.col("p"))) - F.ln("f") - 1.0)
-    apart = read.where("odds > 0").select("form", F.concat("a", F.coalesce("between", F.lit(" ")), "b").alias("good"), "odds")
-    counts = [words.select(F.col("w").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
-    strays = beside.where("between = ' '").join(words.select("w", "n"), "w").where(~F.col("w").rlike(r"[\d|]")).join(counts[0], "a").join(counts[1], "b")
-    strays = strays.where((F.col("n") >= F.least("na", "nb") * times) & (F.col("p") > F.col("na") * F.col("nb") / (total + 1.0)))
-    torn = strays.select(F.concat_ws(" ", "a", "b").alias("form"), F.col("w").alias("good"), F.when(F.col("na") < F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("half"))
-    return swapped.unionByName(apart).groupBy("form").agg(F.max(F.struct("odds", "good")).alias("b")).select("form", F.col("b.good").alias("good"), F.col("b.odds").alias("odds")), torn
-
-
-def _beside(bodies: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b, between, p, w): how often two words stand beside each other with a blank or hyphen between, if both as one are a word w too."""
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = listed.value
         for b in batches:
-            out: dict[tuple[str, str, str], int] = {}
-            for row in zip(b["lines"], b["kinds"], b["open"], b["next_head"], strict=True):
-                pieces = _pieces(*row)[0]
-                for x, y in zip(pieces, pieces[1:], strict=False):
-                    if y.before in (" ", "-"):
-                        at = x.text.lower(), y.text.lower(), y.before
-                        out[at] = out.get(at, 0) + 1
-            yield pd.DataFrame([(*k, n, k[0] + k[1]) for k, n in out.items()], columns=["a", "b", "between", "p", "w"])
+            found: Counter[tuple[str, str]] = Counter()
+            for body in b["body"]:
+                run = _LINE_END.sub("", body.lower())
+                forms, gaps = _WORD.findall(run), _WORD.split(run)
+                found.update((forms[k], forms[k + 1]) for k, ab in enumerate(map(str.__add__, forms, forms[1:])) if ab in known and gaps[k + 1] in _BLANK)
+            yield pd.DataFrame([(*ab, n) for ab, n in found.items()], columns=["a", "b", "n"])
 
-    each = bodies.select("lines", "kinds", "open", "next_head").mapInPandas(pairs, "a string, b string, between string, p bigint, w string")
-    return durable(each.join(words.select("w"), "w", "left_semi").groupBy("a", "b", "between", "w").agg(F.sum("p").alias("p")))
+    beside = bodies.select("body").mapInPandas(neighbours, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= rare)
+    return kept, [tuple(r) for r in beside.collect()], total, rare
 
 
-def _cut_words(bodies: DataFrame, held: DataFrame, torn: DataFrame) -> DataFrame:
-    """(tid, page_no, form, good, odds) of the neighbours on each page that are a word torn by a blank."""
-    torn = durable(torn)
-    on_page = held.join(torn.select(F.col("half").alias("form")).distinct(), "form", "left_semi").groupBy("tid", "page_no").agg(F.collect_set("form").alias("rare"))
+#: The lexicon that this worker has built, by the corpus it is of.
+_BUILT: dict[int, Lexicon] = {}
 
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, p, *row, few in zip(b["tid"], b["page_no"], b["lines"], b["kinds"], b["open"], b["next_head"], b["rare"], strict=True):
-                pieces, few = _pieces(*row)[0], set(few)
-                for x, y in zip(pieces, pieces[1:], strict=False):
-                    first, second = x.text.lower(), y.text.lower()
-                    if y.before == " " and (first in few or second in few):
-                        out.append((t, p, f"{first} {second}"))
-            yield pd.DataFrame(out, columns=["tid", "page_no", "form"]).drop_duplicates()
 
-    pairs = bodies.join(on_page, ["tid", "page_no"]).mapInPandas(neighbours, "tid string, page_no int, form string")
-    return pairs.join(torn.select("form", "good"), "form").select("tid", "page_no", "form", "good", F.lit(3.0).alias("odds"))
+def _lexicon(shared) -> Lexicon:
+    if shared.value[0] not in _BUILT:
+        _BUILT.clear()
+        key, words, pairs, total, rare = shared.value
+        _BUILT[key] = Lexicon(dict(words), {(a, b): n for a, b, n in pairs}, total, rare)
+    return _BUILT[shared.value[0]]
 
 
-def _repaired(pages: DataFrame, rejoin: bool = False) -> DataFrame:
-    """Page bodies with ``fix``, the map of those forms on the page that have corrections; with ``rejoin`` also of words that a
-    blank cut in two, which no kind of damaged line asks for."""
+def _decoded(pages: DataFrame, write, schema: str) -> DataFrame:
+    """``write(row, stream, path)`` of every page, its rows as ``schema`` says."""
     bodies = page_bodies(pages)
-    fixes, torn = corrections(bodies)
-    fixes = durable(fixes)
+    words, pairs, total, rare = corpus_lexicon(bodies)
+    context = bodies.sparkSession.sparkContext
+    shared = context.broadcast((hash((len(words), len(pairs), total, context.applicationId, id(bodies))), words, pairs, total, rare))
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = _lexicon(shared)
         for b in batches:
-            yield pd.DataFrame({"tid": b["tid"], "page_no": b["page_no"], "form": [sorted({p.text.lower() for p in _pieces(*row)[0]}) for row in zip(b["lines"], b["kinds"], b["open"], b["next_head"], strict=True)]})
-
-    held = bodies.mapInPandas(forms, "tid string, page_no int, form array<string>").select("tid", "page_no", F.explode("form").alias("form"))
-    found = held.join(fixes, "form").select("tid", "page_no", "form", "good", "odds")
-    if rejoin:
-        found = found.unionByName(_cut_words(bodies, held, torn))
-    of_page = found.groupBy("tid", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("form", F.struct("good", "odds")))).alias("fix"))
-    return bodies.join(of_page, ["tid", "page_no"], "left")
-
+            out = []
+            for row in b.itertuples(index=False):
+                atoms = Stream(row.body, row.numbers, row.next_head, row.open)
+                out += write(row, atoms, decode(atoms, lexicon))
+            yield pd.DataFrame(out, columns=names)
 
-def _decode(lines, kinds, opened, head, fix) -> tuple[list[Piece], list[int], list[tuple[str, int, int]]]:
-    table = {k: (v["good"], v["odds"]) for k, v in dict(fix).items()} if fix is not None else {}
-    pieces, broken = _pieces(lines, kinds, opened, head)
-    return pieces, broken, decode(pieces, table, 0.0)
+    return bodies.mapInPandas(run, schema)
 
 
 def damaged_lines(pages: DataFrame) -> DataFrame:
@@ -429,68 +513,61 @@ def damaged_lines(pages: DataFrame) -> DataFrame:
     none; other columns aren't read. ``line_no`` counts from 1 over all lines between line feeds.
     """
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, p, *row in zip(b["tid"], b["page_no"], b["lines"], b["kinds"], b["open"], b["next_head"], b["fix"], strict=True):
-                pieces, broken, words = _decode(*row)
-                found = {(k + 1, kind) for k, kind in enumerate(row[1]) if kind in ("header", "number")} | {(k, "hyphen") for k in broken}
-                for word, i, size in words:
-                    if size == 1 and not re.search(r"[ -]", word) and word.lower() != pieces[i].text.lower():
-                        found |= {(k, "misread") for k in misread_lines(pieces[i], word) if k}
-                    elif mixed_figures(pieces[i].text):
-                        cut = pieces[i].cut
-                        if re.search(r"[\d|]", pieces[i].text[: cut or None]):
-                            found.add((pieces[i].first, "misread"))
-                        elif pieces[i].last:
-                            found.add((pieces[i].last, "misread"))
-                out += [(t, p, k, kind) for k, kind in sorted(found)]
-            yield pd.DataFrame(out, columns=["tid", "page_no", "line_no", "kind"])
-
-    return _repaired(pages).mapInPandas(mark, "tid string, page_no int, line_no int, kind string")
+    def write(row, run: Stream, path: list[Arc]) -> list[tuple]:
+        found = {(row.page_no, m["line_no"], m["kind"]) for m in row.marks}
+        for arc in path:
+            i, size, _, misread, _ = arc
+            if size > 1:
+                found |= {(row.page_no, run.lines[k - 1], "hyphen") for k in range(i + 1, i + size) if k in run.cut}
+            if misread and not (i == 0 and size == 1 and row.carried is True):
+                for k in misread_atoms(run, arc):
+                    if run.lines[k]:
+                        found.add((row.page_no, run.lines[k], "misread"))
+                    elif row.next_line == row.next_line:
+                        found.add((row.page_no + 1, int(row.next_line), "misread"))
+        return [(row.tid, *f) for f in sorted(found)]
+
+    return _decoded(pages, write, "tid string, page_no int, line_no int, kind string").distinct()
 
 
 def repaired_paragraphs(pages: DataFrame) -> DataFrame:
-    """(tid, page_no, para_no, goes_on, text) of the paragraphs of every page, words whole and corrected, furniture left out.
+    """(tid, page_no, para_no, text) of the paragraphs of every tid, words whole and corrected, furniture left out.
 
-    A word cut by a page's end stands whole on the page where it begins. ``goes_on`` says that a paragraph carries on in the first
-    one of the next page: it ends without a full stop. Pages without body give no row.
+    ``page_no`` is where a paragraph begins, ``para_no`` its place on that page from 1. A paragraph that a page's end interrupts
+    (without a full stop, or within a word) goes on with the first of the next page of the tid that has a body. Pages without
+    body give no row. What is gathered for a row is that one paragraph.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, p, *row in zip(b["tid"], b["page_no"], b["lines"], b["kinds"], b["open"], b["next_head"], b["fix"], b["carried"], strict=True):
-                *row, carried = row
-                pieces, _, words = _decode(*row)
-                lines, kinds = list(row[0]), list(row[1])
-                groups = paragraphs(lines, kinds)
-                of_line = {k + 1: n for n, g in enumerate(groups) for k in g}
-                texts = [""] * len(groups)
-                last = 0
-                for word, i, size in words:
-                    if carried and i == 0:
-                        continue
-                    piece = pieces[i]
-                    n = of_line.get(piece.first, last)
-                    joint = piece.before if n == last else piece.before.strip()
-                    shown = like_case(word, piece.text)
-                    if n != last and piece.before.rstrip():
-                        head = piece.before.rstrip()
-                        close = re.match(r"^[^\w\s(\[“]*", head).group()
-                        texts[last] += close
-                        joint = head[len(close) :].strip()
-                    texts[n] += joint + shown
-                    last = n
-                if groups and pieces:
-                    line = lines[groups[-1][-1]].rstrip()
-                    rest = line[pieces[-1].end :] if pieces[-1].last and not row[2] else ""
-                    texts[last] += rest
-                full = [re.sub(r"\s+", " ", x).strip() for x in texts]
-                out += [(t, p, k + 1, k + 1 == len(full) and not re.search(r"[.!?][\"')]*$", x), x) for k, x in enumerate(full) if x]
-            yield pd.DataFrame(out, columns=["tid", "page_no", "para_no", "goes_on", "text"])
-
-    whole = _repaired(pages, rejoin=True)
-    before = whole.where("open").select("tid", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("carried"))
-    joined = whole.join(before, ["tid", "page_no"], "left").withColumn("carried", F.coalesce("carried", F.lit(False)))
-    return joined.mapInPandas(write, "tid string, page_no int, para_no int, goes_on boolean, text string")
+    def write(row, run: Stream, path: list[Arc]) -> list[tuple]:
+        lines = row.body.split("\n") if len(row.numbers) else []
+        groups = paragraphs(lines)
+        full = [n for n, x in zip(row.numbers, lines, strict=True) if x.strip()]
+        of_line = {full[k]: g for g, (a, b) in enumerate(groups) for k in range(a, b)}
+        texts, last = [""] * len(groups), 0
+        arcs, i = {arc[0]: arc for arc in path}, 0
+        while i < len(run.texts):
+            g, gap = of_line.get(run.lines[i], last), run.gaps[i]
+            if g != last and "\n" in gap:
+                close, _, gap = gap.rpartition("\n")
+                texts[last] += close
+            word = shown(run, arcs[i]) if i in arcs else run.texts[i]
+            texts[g] += gap if i == 0 and row.carried is True else gap + word
+            i += arcs[i][1] if i in arcs else 1
+            last = g
+        if groups and not row.open:
+            texts[last] += run.gaps[-1]
+        neat = [re.sub(r"\s+", " ", x).strip() for x in texts]
+        kept = [x for k, x in enumerate(neat) if x or k == 0 and row.carried is True]
+        return [(row.tid, row.page_no, k + 1, x, k + 1 == len(kept) and (row.open or not _STOP.search(x))) for k, x in enumerate(kept)]
+
+    parts = _decoded(pages, write, "tid string, page_no int, para_no int, text string, goes_on boolean")
+    parts = durable(parts)
+    follows = parts.where("goes_on").select("tid", F.col("page_no").alias("_page"))
+    starts = parts.where("para_no = 1").select("tid", "page_no", "text")
+    nexts = starts.select("tid", "page_no").join(follows.select("tid", (F.col("_page") + 1).alias("page_no")), ["tid", "page_no"]).withColumn("_on", F.lit(1)).withColumn("para_no", F.lit(1))
+    marked = parts.join(nexts, ["tid", "page_no", "para_no"], "left").withColumn("_begins", F.when(F.col("_on").isNull(), 1).otherwise(0))
+    run = numbered(marked, ["tid", "page_no", "para_no"], "_before", F.col("_begins")).withColumn("_run", F.col("_before") + F.col("_begins"))
+    put = F.sort_array(F.collect_list(F.struct("page_no", "para_no", "text")))
+    whole = run.groupBy("tid", "_run").agg(put.alias("p"))
+    text = F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda x: x != ""), " ")
+    return whole.select("tid", F.col("p")[0]["page_no"].alias("page_no"), F.col("p")[0]["para_no"].alias("para_no"), text.alias("text")).where("text <> ''")
