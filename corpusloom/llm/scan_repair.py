@@ -18,8 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..operators.corpus import numbered
 from ..session import durable
@@ -58,13 +61,30 @@ def skeleton(word: str) -> str:
     return _STROKES.sub("i", word.lower().translate(_CLOSED))
 
 
-_ALONE = re.compile(r"(?<![^\W_]|\|)[\d|]+(?![^\W_]|\|)")
-_MARKS = re.compile(r"[^\w|@]|_")
+def prefix_skeletons(word: str) -> tuple[list[str], list[str]]:
+    """The skeletons of ``word[:k]`` and of ``word[k:]`` for every k."""
+    classes = [c.translate(_CLOSED) for c in word.lower()]
+    heads, tails = [""], [""]
+    for c in classes:
+        heads.append(heads[-1] + (c[0] if c[0] != "i" or heads[-1][-1:] != "i" else "") + c[1:])
+    for c in reversed(classes):
+        tails.append(c[:-1] + (c[-1] if c[-1] != "i" or tails[-1][:1] != "i" else "") + tails[-1])
+    return heads, tails[::-1]
+
+
+_ALONE, _FIGURE = re.compile(r"(?<![^\W_]|\|)[\d|]+(?![^\W_]|\|)"), re.compile(r"[\d|]")
+#: Marks and blanks of ASCII go; letters and figures become their classes, "d" a mark of its own until it is written out.
+_KEY = str.maketrans({**{chr(k): None for k in range(128) if not chr(k).isalnum() and chr(k) not in "|@"}, **{c.upper(): k for k, cs in _CLASSES.items() for c in cs}, **{c: k for k, cs in _CLASSES.items() for c in cs},
+                      **{c.upper(): c for c in "cikpxgtz"}, "d": "D"})
 
 
 def line_key(line: str) -> int:
     """A fingerprint of a line's skeleton, 0 without letters; figures that stand on their own are left out, as page numbers change."""
-    bare = skeleton(_MARKS.sub("", _ALONE.sub("", line)))
+    if _FIGURE.search(line):
+        line = _ALONE.sub("", line)
+    if not line.isascii():
+        line = re.sub(r"\W", "", line).lower()
+    bare = _STROKES.sub("i", line.translate(_KEY).replace("D", "ci"))
     return int.from_bytes(hashlib.blake2b(bare.encode(), digest_size=8).digest(), "big", signed=True) if bare else 0
 
 
@@ -219,6 +239,7 @@ class Lexicon:
             best = (score, (word,), True)
         if not 5 <= len(form) <= 80 or "'" in form or form.isdigit():
             return best
+        heads, tails = prefix_skeletons(form)
         for k in range(2, len(form) - 1):
             a, b = form[:k], form[k:]
             if a in self.words and b in self.words:
@@ -230,7 +251,7 @@ class Lexicon:
                     elif score > best[0]:
                         best = (score, (a, b), False)
                 continue
-            tops = [self.groups.get(skeleton(x)) for x in (a, b)]
+            tops = [self.groups.get(heads[k]), self.groups.get(tails[k])]
             if None in tops or sum(math.log(t[0][0] / self.total) for t in tops) + _MERGED + _CONFUSED <= best[0]:
                 continue
             parts = [(self.stands(x), x) if x in self.words else self.single(x) for x in (a, b)]
@@ -300,10 +321,16 @@ def _arcs(i: int, last: int, forms: list[str], gaps: list[str], cut: set[int], o
         any_odd = any_odd or j in odd
         torn += 0.0 if j in cut else _TORN
         hyphen = any(k in cut for k in range(i + 1, j + 1))
-        if hyphen or joined in lexicon.words or any_odd and skeleton(joined) in lexicon.groups:
-            score, words, misread = lexicon.read(joined)
-            if torn == 0.0 or len(words) == 1 and (misread or joined in lexicon.words):
-                out.append((j - i + 1, score + torn, words, misread, "cut" if hyphen else "torn"))
+        if torn == 0.0:  # hyphens only
+            out.append((j - i + 1, *lexicon.read(joined), "cut"))
+        else:
+            apart = sum(lexicon.read(f)[0] for f in forms[i : j + 1]) - torn
+            known = lexicon.stands(joined) if joined in lexicon.words else -math.inf
+            score, word = lexicon.single(joined, max(known, apart)) if any_odd else (known, joined)
+            if word != joined:
+                out.append((j - i + 1, score + torn, (word,), True, "cut" if hyphen else "torn"))
+            elif known > -math.inf:
+                out.append((j - i + 1, known + torn, (joined,), False, "cut" if hyphen else "torn"))
         if j == i + 1 and hyphen:
             compound = f"{forms[i]}-{forms[j]}"
             if compound in lexicon.words:
@@ -393,9 +420,9 @@ def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def page_bodies(pages: DataFrame, min_pages: int = 2, min_share: float = 1 / 3, stop_pages: float = 1.5) -> DataFrame:
-    """(tid, page_no, body, numbers, marks, next_head, next_line, carried) of every page with a text, furniture told from body.
+    """(tid, page_no, body, lines, marks, open, next_head, next_line, carried) of every page with a text, furniture told from body.
 
-    ``body`` are the lines that aren't furniture with their ``numbers``, ``marks`` the (line_no, kind) of furniture. A line is a
+    ``body`` are those of a page's ``lines`` that aren't furniture, ``marks`` the numbers of the others with the first letter of their kind. A line is a
     running head or foot if its letters, up to confusions, recur on at least ``min_pages`` pages and ``min_share`` of the tid's
     pages, and only furniture lies between it and the page's edge; a full stop at its end speaks against it as much as
     ``stop_pages`` further pages speak for it. Lines are counted by (tid, key) before anything is gathered and meet their
@@ -404,33 +431,36 @@ def page_bodies(pages: DataFrame, min_pages: int = 2, min_share: float = 1 / 3,
     texts = pages.select("tid", "page_no", "text").where("text is not null and tid is not null and page_no is not null").groupBy("tid", "page_no").agg(F.min("text").alias("text"))
     texts = durable(texts)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(t, p, k + 1, key, bool(_STOP.search(x.rstrip()))) for t, p, text in zip(b["tid"], b["page_no"], b["text"], strict=True) for k, x in enumerate(text.split("\n")) if (key := line_key(x))]
-            yield pd.DataFrame(out, columns=["tid", "page_no", "line_no", "key", "stop"])
+            found = [[line_key(x) for x in text.split("\n")] for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("tid"), b.column("page_no"), pa.array(found, pa.list_(pa.int64()))], ["tid", "page_no", "keys"])
 
-    line = texts.mapInPandas(keys, "tid string, page_no int, line_no int, key bigint, stop boolean").withColumn("stop", F.col("stop").cast("int"))
+    each = texts.mapInArrow(keys, "tid string, page_no int, keys array<bigint>").select("tid", "page_no", F.posexplode("keys").alias("line_no", "key"))
+    line = durable(each.where("key <> 0").withColumn("line_no", F.col("line_no") + 1))
     total = texts.groupBy("tid").agg(F.count("*").alias("of"))
-    recur = line.groupBy("tid", "key", "page_no").agg(F.max("stop").alias("stop")).groupBy("tid", "key").agg(F.count("*").alias("pages"), F.avg("stop").alias("stop")).where(F.col("pages") >= min_pages)
-    heads = recur.join(total, "tid").where((F.col("pages") >= F.col("of") * min_share) & (F.col("pages") - 1 > F.col("stop") * stop_pages)).select("tid", "key")
-    found = line.join(heads, ["tid", "key"], "left_semi").groupBy("tid", "page_no").agg(F.collect_set("line_no").alias("recurring"))
+    recur = line.select("tid", "key", "page_no").distinct().groupBy("tid", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    heads = recur.join(total, "tid").where(F.col("pages") >= F.col("of") * min_share).select("tid", "key", (F.col("pages") - 1 > stop_pages).alias("sure"))
+    met = line.join(heads, ["tid", "key"])
+    found = met.groupBy("tid", "page_no").agg(F.collect_set(F.when(F.col("sure"), F.col("line_no")).otherwise(-F.col("line_no"))).alias("recurring"))
 
-    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, p, x, found in zip(b["tid"], b["page_no"], b["text"], b["recurring"], strict=True):
+            for x, found in zip(b.column("text").to_pylist(), b.column("recurring").to_pylist(), strict=True):
                 lines = lines_of(x)
-                kinds = kinds_of(lines, set(found) if found is not None else set())
-                keep = [k for k, kind in enumerate(kinds) if kind in ("", "body")]
-                body = [lines[k] for k in keep]
-                full = [k for k in keep if kinds[k] == "body"]
-                head = _WORD.match(lines[full[0]].lstrip()) if full else None
-                out.append((t, p, "\n".join(body), [k + 1 for k in keep], [{"line_no": k + 1, "kind": kind} for k, kind in enumerate(kinds) if kind in ("header", "number")],
-                            head.group() if head else None, full[0] + 1 if full else None, bool(full) and bool(_ENDS.search(lines[full[-1]]))))
-            yield pd.DataFrame(out, columns=["tid", "page_no", "body", "numbers", "marks", "head", "first", "open"])
-
-    kind = "tid string, page_no int, body string, numbers array<int>, marks array<struct<line_no:int,kind:string>>, head string, first int, open boolean"
-    bodies = durable(texts.join(found, ["tid", "page_no"], "left").mapInPandas(tell, kind))
+                kinds = kinds_of(lines, {abs(k) for k in found or () if k > 0 or not _STOP.search(lines[-k - 1].rstrip())})
+                keep = [x for x, kind in zip(lines, kinds, strict=True) if kind in ("", "body")]
+                marks = " ".join(f"{k}{kind[0]}" for k, kind in enumerate(kinds, 1) if kind in ("header", "number"))
+                first = kinds.index("body") if "body" in kinds else None
+                head = None if first is None else _WORD.match(lines[first].lstrip())
+                last = next((x for x in reversed(keep) if x.strip()), "")
+                out.append(("\n".join(keep), len(lines), marks, head.group() if head else None, None if first is None else first + 1, bool(_ENDS.search(last))))
+            columns = [b.column("tid"), b.column("page_no"), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_())))]
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "page_no", "body", "lines", "marks", "head", "first", "open"])
+
+    kind = "tid string, page_no int, body string, lines int, marks string, head string, first int, open boolean"
+    bodies = durable(texts.join(found, ["tid", "page_no"], "left").select("tid", "page_no", "text", "recurring").mapInArrow(tell, kind))
     none = F.lit(None)
     ahead = bodies.where("head is not null").select("tid", (F.col("page_no") - 1).alias("page_no"), "head", "first", F.lit(False).alias("carried"))
     behind = bodies.where("open").select("tid", (F.col("page_no") + 1).alias("page_no"), none.cast("string").alias("head"), none.cast("int").alias("first"), F.lit(True).alias("carried"))
@@ -455,7 +485,7 @@ def corpus_lexicon(bodies: DataFrame, least_share: float = 1e-6) -> tuple[list[t
     joined = durable(bodies.select("body").mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     parts = F.when(F.col("w").contains("-"), F.array_append(F.split("w", "-"), F.col("w"))).otherwise(F.array("w"))
     words = joined.select(F.explode(parts).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    total = float(joined.agg(F.sum("n")).first()[0] or 0)
+    total = float(words.agg(F.sum("n")).first()[0] or 0)
     rare = total * least_share
     kept = [tuple(r) for r in words.where(F.col("n") >= rare).collect()]
     listed = bodies.sparkSession.sparkContext.broadcast(frozenset(w for w, _ in kept))
@@ -466,8 +496,10 @@ def corpus_lexicon(bodies: DataFrame, least_share: float = 1e-6) -> tuple[list[t
             found: Counter[tuple[str, str]] = Counter()
             for body in b["body"]:
                 run = _LINE_END.sub("", body.lower())
-                forms, gaps = _WORD.findall(run), _WORD.split(run)
-                found.update((forms[k], forms[k + 1]) for k, ab in enumerate(map(str.__add__, forms, forms[1:])) if ab in known and gaps[k + 1] in _BLANK)
+                forms = _WORD.findall(run)
+                if at := [k for k, ab in enumerate(map(str.__add__, forms, forms[1:])) if ab in known]:
+                    gaps = _WORD.split(run)
+                    found.update((forms[k], forms[k + 1]) for k in at if gaps[k + 1] in _BLANK)
             yield pd.DataFrame([(*ab, n) for ab, n in found.items()], columns=["a", "b", "n"])
 
     beside = bodies.select("body").mapInPandas(neighbours, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= rare)
@@ -486,24 +518,39 @@ def _lexicon(shared) -> Lexicon:
     return _BUILT[shared.value[0]]
 
 
+class Page:
+    """A row of ``page_bodies``, with the numbers of its body's lines and the marks as (line_no, kind)."""
+
+    FIELDS = ("tid", "page_no", "body", "lines", "marks", "open", "next_head", "next_line", "carried")
+    __slots__ = (*FIELDS, "numbers")
+
+    def __init__(self, *values):
+        for name, v in zip(self.FIELDS, values, strict=True):
+            setattr(self, name, v)
+        self.marks = [(int(m[:-1]), "header" if m[-1] == "h" else "number") for m in self.marks.split()]
+        taken = {k for k, _ in self.marks}
+        self.numbers = [k for k in range(1, self.lines + 1) if k not in taken]
+
+
 def _decoded(pages: DataFrame, write, schema: str) -> DataFrame:
     """``write(row, stream, path)`` of every page, its rows as ``schema`` says."""
     bodies = page_bodies(pages)
     words, pairs, total, rare = corpus_lexicon(bodies)
     context = bodies.sparkSession.sparkContext
     shared = context.broadcast((hash((len(words), len(pairs), total, context.applicationId, id(bodies))), words, pairs, total, rare))
-    names = [x.split()[0] for x in schema.split(", ")]
+    kind = StructType.fromDDL(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(shared)
         for b in batches:
             out = []
-            for row in b.itertuples(index=False):
+            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = Page(*values)
                 atoms = Stream(row.body, row.numbers, row.next_head, row.open)
                 out += write(row, atoms, decode(atoms, lexicon))
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], to_arrow_type(f.dataType)) for k, f in enumerate(kind)], [f.name for f in kind])
 
-    return bodies.mapInPandas(run, schema)
+    return bodies.select(*Page.FIELDS).mapInArrow(run, schema)
 
 
 def damaged_lines(pages: DataFrame) -> DataFrame:
@@ -514,17 +561,17 @@ def damaged_lines(pages: DataFrame) -> DataFrame:
     """
 
     def write(row, run: Stream, path: list[Arc]) -> list[tuple]:
-        found = {(row.page_no, m["line_no"], m["kind"]) for m in row.marks}
+        found = {(row.page_no, *m) for m in row.marks}
         for arc in path:
             i, size, _, misread, _ = arc
             if size > 1:
                 found |= {(row.page_no, run.lines[k - 1], "hyphen") for k in range(i + 1, i + size) if k in run.cut}
-            if misread and not (i == 0 and size == 1 and row.carried is True):
+            if misread and not (i == 0 and size == 1 and row.carried):
                 for k in misread_atoms(run, arc):
                     if run.lines[k]:
                         found.add((row.page_no, run.lines[k], "misread"))
-                    elif row.next_line == row.next_line:
-                        found.add((row.page_no + 1, int(row.next_line), "misread"))
+                    elif row.next_line is not None:
+                        found.add((row.page_no + 1, row.next_line, "misread"))
         return [(row.tid, *f) for f in sorted(found)]
 
     return _decoded(pages, write, "tid string, page_no int, line_no int, kind string").distinct()
@@ -551,13 +598,13 @@ def repaired_paragraphs(pages: DataFrame) -> DataFrame:
                 close, _, gap = gap.rpartition("\n")
                 texts[last] += close
             word = shown(run, arcs[i]) if i in arcs else run.texts[i]
-            texts[g] += gap if i == 0 and row.carried is True else gap + word
+            texts[g] += gap if i == 0 and row.carried else gap + word
             i += arcs[i][1] if i in arcs else 1
             last = g
         if groups and not row.open:
             texts[last] += run.gaps[-1]
         neat = [re.sub(r"\s+", " ", x).strip() for x in texts]
-        kept = [x for k, x in enumerate(neat) if x or k == 0 and row.carried is True]
+        kept = [x for k, x in enumerate(neat) if x or k == 0 and row.carried]
         return [(row.tid, row.page_no, k + 1, x, k + 1 == len(kept) and (row.open or not _STOP.search(x))) for k, x in enumerate(kept)]
 
     parts = _decoded(pages, write, "tid string, page_no int, para_no int, text string, goes_on boolean")

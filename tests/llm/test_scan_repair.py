@@ -1,4 +1,4 @@
-from corpusloom.llm.scan_repair import Lexicon, Stream, confused, damaged_lines, decode, is_number, kinds_of, lines_of, paragraphs, repaired_paragraphs, shown, skeleton
+from corpusloom.llm.scan_repair import Lexicon, Stream, confused, damaged_lines, decode, is_number, kinds_of, lines_of, paragraphs, prefix_skeletons, repaired_paragraphs, shown, skeleton
 
 BODY = "the committee found that the harmless seedling was examined by the company in november"
 
@@ -12,6 +12,13 @@ def test_skeletons_meet():
     assert confused("same", "same") == 0
 
 
+def test_skeletons_of_parts():
+    for word in ("wholesaler", "ddlid", "iiii", "Radium", "d"):
+        heads, tails = prefix_skeletons(word)
+        assert heads == [skeleton(word[:k]) for k in range(len(word) + 1)]
+        assert tails == [skeleton(word[k:]) for k in range(len(word) + 1)]
+
+
 def test_numbers():
     for x in ("7", " - 12 - ", "— 3 —", "[4]", "Page 3", "PAGE 2/9", "3 of 12", "xiv", "MX26837465", "TVN 123456789"):
         assert is_number(x), x
@@ -106,6 +113,6 @@ def test_arcs_compete():
 
 def test_heads_need_no_place_or_length():
     """Many lines of furniture, long ones and one with a full stop are told from body; body that recurs within the page isn't."""
-    lines = ["Aa", "Bb.", "Cc", "Dd", "Ee", "body line", "Aa", "more body", "F" * 400]
+    lines = ["Aa", "Bb.", "Kk", "Pp", "Ee", "body line", "Aa", "more body", "Ff" * 200]
     kinds = kinds_of(lines, {1, 2, 3, 4, 5, 7, 9})
     assert kinds == ["header"] * 5 + ["body"] * 3 + ["header"]
