@@ -41,6 +41,8 @@ _PRINT = {
     **{ord(k): v for k, v in LIGATURES.items()}, **{k: k - 0xFEE0 for k in range(0xFF01, 0xFF5F)},
 }
 _TOKEN = re.compile(r"\w+")
+#: Letters from here on are of other scripts than Latin.
+_BEYOND = "Ͱ"
 _FOREIGN = re.compile("[" + "".join(TO_LATIN) + "]")
 #: Texts of other characters than these hold nothing that can change; they never leave the JVM.
 CHANGES = r"[^\x00-\x0c\x0e-\x9f¡-¬®-ÿ]"
@@ -65,7 +67,7 @@ def repairs(text: str) -> dict[str, str]:
     On a tie within a token the dominant script of the text decides. Tokens with a letter that has no counterpart have none.
     """
     found: dict[str, str] = {}
-    tokens = [t for t in _TOKEN.findall(text) if _FOREIGN.search(t)]
+    tokens = [t for t in _TOKEN.findall(text) if _FOREIGN.search(t) or max(t) >= _BEYOND and len({_script(c) for c in t if c.isalpha()}) > 1]
     if not tokens:
         return found
     around = [_script(c) for c in text if c.isalpha()]
@@ -137,12 +139,15 @@ def alike_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: every two documents whose non-empty texts print alike but differ as strings.
 
     Repeated rows count once; null and empty texts are in no pair. Forms held by one text only, however often, end at a map-side
-    aggregate of fingerprints (SHA-256), so exact copies are never paired with each other and only rows of mixed forms meet.
+    aggregate of fingerprints (SHA-256). Of the others, distinct prints of a form are paired first and opened to their documents
+    afterwards, so exact copies never meet each other: a print with a third of all rows costs what it has to return.
     """
     texts = documents.where(F.col("text") != "")
     forms = durable(one_form(texts).select("doc_id", F.unhex("print").alias("s"), F.unhex(F.sha2("form", 256)).alias("f")))
     mixed = forms.groupBy("f").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("f")
-    held = forms.join(mixed, "f", "left_semi").distinct()
-    a = held.select("f", F.col("doc_id").alias("doc_id_a"), F.col("s").alias("s_a"))
-    b = held.select("f", F.col("doc_id").alias("doc_id_b"), F.col("s").alias("s_b"))
-    return a.join(b, "f").where("doc_id_a < doc_id_b and s_a <> s_b").select("doc_id_a", "doc_id_b").distinct()
+    held = durable(forms.join(mixed, "f", "left_semi").distinct())
+    prints = held.select("f", "s").distinct()
+    alike = prints.select("f", F.col("s").alias("s_a")).join(prints.select("f", F.col("s").alias("s_b")), "f").where("s_a <> s_b").select("s_a", "s_b")
+    a = held.select(F.col("doc_id").alias("doc_id_a"), F.col("s").alias("s_a"))
+    b = held.select(F.col("doc_id").alias("doc_id_b"), F.col("s").alias("s_b"))
+    return alike.join(a, "s_a").join(b, "s_b").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()

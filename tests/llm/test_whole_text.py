@@ -1,5 +1,7 @@
 """Cases that text operators left out by counts or tables of their own."""
 
+from corpusloom.llm.leakage import Passages, leaked_items
+from corpusloom.llm.lookalikes import alike_pairs, repairs
 from corpusloom.llm.scan_repair import CONFUSIONS, confused, damaged_lines, repaired_paragraphs, skeleton
 
 SCHEMA = "tid string, page_no int, text string"
@@ -30,3 +32,45 @@ def test_confusions_of_all_kinds_are_repaired(spark):
     df = spark.createDataFrame(pages, SCHEMA)
     assert {r["text"] for r in repaired_paragraphs(df).where("page_no = 40").collect()} == {sound.replace("hybrid", "HYBRID")}
     assert {r["kind"] for r in damaged_lines(df).where("page_no = 40").collect()} == {"misread"}
+
+
+def test_copies_never_meet(spark):
+    """A text with a hundred thousand equal copies and two variants: the join gives what must come out and nothing in between."""
+    copies = spark.range(100_000).selectExpr("id as doc_id", "'the same text' as text")
+    variants = spark.createDataFrame([(200_000, "the same text"), (200_001, "the same text")], "doc_id long, text string")
+    found = alike_pairs(copies.unionByName(variants))
+    assert found.count() == 200_001
+    assert found.where("doc_id_b < 200000").count() == 0
+
+
+def test_mixed_words_without_look_alikes():
+    assert repairs("дoм") == {"дoм": "дом"}
+    assert repairs("дом") == {}
+    assert repairs("naïve Ωmega") == {}
+
+
+CYRILLIC = "Комитет рассмотрел новый годовой отчёт лаборатории табачной фабрики города Киева зимой прошлого года вместе жёлтыми листами книги учёта дыма пепла шума света и всего прочего"
+GREEK = "Η επιτροπή εξέτασε την έκθεση του εργαστηρίου για τον καπνό και βρήκε ότι τα φύλλα ήταν ξηρά πριν από τον χειμώνα της χρονιάς εκείνης στο βόρειο μέρος"
+JAPANESE = "委員会は煙草の葉に関する研究所の年次報告書を検討し、冬の前に乾燥していたことを確認した。"
+
+
+def test_items_of_other_scripts(spark):
+    items = [(1, CYRILLIC), (2, GREEK), (3, JAPANESE)]
+    swapped = " ".join(w[::-1] for w in CYRILLIC.split())
+    texts = ["vor " + " ".join(CYRILLIC.upper().split()[1:22]) + " nach", "x " + GREEK.replace(" ", "\n") + " y", "前文" + JAPANESE[5:28] + "後文", swapped, JAPANESE[:15] + "別" + JAPANESE[20:30], "aya aa paaa " * 20, " ".join(GREEK.split()[:15])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = leaked_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_sets_of_bounded_words_give_the_same(spark):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(25))) for k in range(40)]
+    docs = spark.createDataFrame([(k, "a " + t + " b") for k, t in items] + [(99, "none")], "doc_id long, text string")
+    found = leaked_items(docs, spark.createDataFrame(items, "item_id long, text string"), most_words=400)
+    assert {tuple(r) for r in found.collect()} == {(k, k) for k in range(40)}
+
+
+def test_long_streams_go_in_slices():
+    text = " ".join(f"w{j}" for j in range(30))
+    passages = Passages([(7, text)])
+    assert passages.found(["z" * ((1 << 20) - 20) + text + "z" * 1000, None, "", "z" * (1 << 20) + text[:60]]) == [(0, 7)]
