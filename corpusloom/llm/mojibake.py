@@ -1,9 +1,11 @@
-"""Garbled text from wrong character encodings: noisy-channel decoding.
+"""Garbled text from wrong character encodings: noisy-channel decoding over byte lattices.
 
 A value is a row of spans (runs of ASCII letters, figures and any other characters). Under each channel, a pair of the encoding
-a text was read with and the one it was written in, a span is a byte string and so has another reading; a lost byte (U+FFFD) is
-a wildcard that matches any byte. A Viterbi search through these readings, scored by the frequencies of words in the corpus and by how well letters
-go together in a word, finds the likeliest original; a value whose best path leaves the clean state is damaged.
+a text was read with and the one it was written in, a span is a lattice of bytes: a character that the channel can have made is
+its byte, a lost one (U+FFFD) a wildcard that any byte beyond ASCII fits. The characters that the bytes spell in the written
+encoding, wildcards filled by spans of the corpus that fit the lattice, are the channel's readings of the span. A Viterbi search
+through the readings of all spans, scored by corpus frequencies and by how well letters go together in a word, finds the likeliest
+original; a value whose best path leaves the clean state is damaged.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +35,9 @@ _WORD = re.compile(r"\w+(?:[’']\w+)*")
 #: Log-odds of the noisy channel: scripts mixed in a word, marks between letters, letter case, bytes that happen to be valid
 #: UTF-8, leaving a state, and characters that archives of letters don't have.
 _MIXED, _INSIDE, _CASE, _VALID, _SWITCH, _CONTROL, _STRANGE = -15.0, -12.0, -8.0, -12.0, -2.0, -40.0, -12.0
-_OPENING, _CLOSING, _APART = "«“„‘¿¡", "»”", "±×÷¬¦¤¯"
+_OPENING, _CLOSING, _APART = "«“„‘¿¡", "»”", "±×÷¬¦¤¯¶§†‡•"
+#: The states of the search: clean, every channel, and bytes lost from a text that was read rightly.
+_CLEAN, _LOSS = -1, len(CHANNELS)
 
 
 @cache
@@ -60,16 +64,107 @@ def reread(text: str, read: str, written: str, times: int = 1) -> str | None:
     return text
 
 
+def _sound(text: str) -> bool:
+    return text == text.strip() and not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in text)
+
+
+@lru_cache(50_000)
 def readings(span: str) -> dict[int, str]:
-    """Other readings of a span by channel number, without those that hold controls or private characters."""
+    """Other readings of a span without lost bytes by channel number, but those that hold controls or private characters."""
     out = {}
-    for k, channel in enumerate(CHANNELS):
-        new = reread(span.replace(" ", "\xa0"), *channel)
-        if new is not None and new != span and new == new.strip() and not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in new):
+    text = span.replace(" ", "\xa0")
+    lattices = {}
+    for read in READ_AS:
+        table = _bytes_of(read)
+        try:
+            lattices[read] = b"".join([table[c] for c in text])
+        except KeyError:
+            continue
+    for k, (read, written, times) in enumerate(CHANNELS):
+        if read not in lattices:
+            continue
+        try:
+            new = lattices[read].decode(written)
+        except UnicodeDecodeError:
+            continue
+        new = new if times == 1 else reread(new, read, written, times - 1)
+        if new is not None and new != span and _sound(new):
             out[k] = new
     return out
 
 
+class Gap:
+    """What a span with lost bytes can have been: a text that begins with ``prefix``, ends with ``suffix``, has ``least`` to
+    ``most`` characters between them, and whose bytes fit the lattice."""
+
+    __slots__ = ("least", "most", "pattern", "prefix", "suffix", "written")
+
+    def __init__(self, prefix: str, suffix: str, least: int, most: int, pattern: re.Pattern, written: str | None):
+        self.prefix, self.suffix, self.least, self.most, self.pattern, self.written = prefix, suffix, least, most, pattern, written
+
+    def fits(self, text: str) -> bool:
+        if self.written is None:
+            return bool(self.pattern.fullmatch(text))
+        try:
+            return bool(self.pattern.fullmatch(text.encode(self.written)))
+        except UnicodeEncodeError:
+            return False
+
+    def keys(self) -> list[str]:
+        """Under what it meets spans of the corpus; none if neither its first nor its last character is left."""
+        return [f"{g}|{self.prefix}|{self.suffix}" for g in range(self.least, self.most + 1)] if self.prefix or self.suffix else []
+
+
+def _edge(known: bytes, written: str, head: bool) -> str | None:
+    """The characters of the known bytes before the first wildcard, or behind the last, without one that the wildcard cuts."""
+    if written == "utf-8":
+        if head:
+            cut = next((k for k in range(1, min(4, len(known) + 1)) if known[-k] >= 0xC0), 0)
+            lead = known[-cut] if cut else 0
+            known = known[:-cut] if cut and cut < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) else known
+        else:
+            known = known[next((k for k, x in enumerate(known) if not 0x80 <= x < 0xC0), len(known)) :]
+    try:
+        return known.decode(written)
+    except UnicodeDecodeError:
+        return None
+
+
+@lru_cache(50_000)
+def gaps(span: str) -> dict[int, Gap]:
+    """The lattices of a span with lost bytes by state: as bytes lost from a text read rightly, and under each channel that can
+    have made its other characters. A channel that made none of them says nothing of its own and is left out."""
+    parts = re.split(f"({LOST}+)", span)
+    literal = "".join(f"[^\x00-\x7f]{{1,{len(p)}}}" if p.startswith(LOST) else re.escape(p) for p in parts if p)
+    inner = len(span) - len(parts[0]) - len(parts[-1])
+    known = sum(len(p) for p in parts[1:-1] if not p.startswith(LOST))
+    runs = sum(p.startswith(LOST) for p in parts)
+    out = {_LOSS: Gap(parts[0], parts[-1], known + runs, inner, re.compile(literal), None)}
+    if all(c.isascii() for p in parts if not p.startswith(LOST) for c in p):
+        return out
+    for k, (read, written, times) in enumerate(CHANNELS):
+        table = _bytes_of(read)
+        if times > 1 or any(c not in table for c in span if c != LOST):
+            continue
+        lattice = [None if c == LOST else table[c] for c in span]
+        first = lattice.index(None)
+        last = len(lattice) - 1 - lattice[::-1].index(None)
+        prefix, suffix = _edge(b"".join(lattice[:first]), written, True), _edge(b"".join(lattice[last + 1 :]), written, False)
+        if prefix is None or suffix is None:
+            continue
+        pattern = b"".join(b"[\x80-\xff]" if x is None else re.escape(x) for x in lattice)
+        left = len(lattice) - len(prefix.encode(written)) - len(suffix.encode(written))
+        least = left if written != "utf-8" else -(-left // 4)
+        out[k] = Gap(prefix, suffix, max(least, 1), left, re.compile(pattern, re.DOTALL), written)
+    return out
+
+
+def fillings(span: str) -> list[str]:
+    """The keys that ``Gap.keys`` of a damaged form of this span can have: every stretch between two characters beyond ASCII lost."""
+    odd = [k for k, c in enumerate(span) if not c.isascii()]
+    return [f"{j - i + 1}|{span[:i]}|{span[j + 1 :]}" for n, i in enumerate(odd) for j in odd[n:] if i or j + 1 < len(span)]
+
+
 @cache
 def _kind(c: str) -> str:
     name = unicodedata.name(c, "")
@@ -78,6 +173,7 @@ def _kind(c: str) -> str:
     return "figure" if c.isdigit() else "mark"
 
 
+@lru_cache(100_000)
 def fit(span: str) -> float:
     """How well the characters of a span go together, 0 at best: one script a word, no marks between letters but
     apostrophes, no letter of the other case inside a word, no signs that letters don't hold."""
@@ -114,17 +210,11 @@ def damaged_spans(value: str) -> list[str]:
     return [s for s in _SPAN.findall(value) if not s.isascii()]
 
 
-def lost_pattern(span: str) -> str:
-    """A regular expression of the spans that a span with lost bytes can have been: each run of them stands for as many
-    characters of one byte, or fewer of several (which the caller checks by length)."""
-    parts = re.split(f"({LOST}+)", span)
-    return "^" + "".join(f"[^\\x00-\\x7f]{{1,{len(p)}}}" if p.startswith(LOST) else re.escape(p) for p in parts if p) + "$"
-
-
-def decode(value: str, counts: dict[str, int], total: int, found: dict[str, str]) -> tuple[bool, str | None]:
+def decode(value: str, counts: dict[str, int], total: int, found: dict[str, list[tuple[str, int]]]) -> tuple[bool, str | None]:
     """Whether the value is damaged, and its original, None where a lost byte stays unknown.
 
-    ``counts`` are corpus frequencies of lower-cased words, ``found`` the likeliest corpus span of each span with lost bytes.
+    ``counts`` are corpus frequencies of lower-cased words, ``found`` the corpus spans, with their frequencies, that meet the gaps of
+    each span with lost bytes. Every span, with lost bytes or without, goes through the one search.
     """
 
     def likely(span: str) -> float:
@@ -133,24 +223,29 @@ def decode(value: str, counts: dict[str, int], total: int, found: dict[str, str]
     spans = damaged_spans(value)
     if not spans:
         return False, value
-    damaged = any(LOST in s for s in spans)
-    whole = [s for s in spans if LOST not in s]
-    states = [-1, *range(len(CHANNELS))]
-    path = {s: (0.0 if s < 0 else _SWITCH, ()) for s in states}
-    for span in whole:
-        other = readings(span)
-        clean = likely(span) + (_VALID if any(CHANNELS[k][1] == "utf-8" for k in other) else 0.0)
-        emit = {-1: (clean, span), **{k: (likely(new), new) for k, new in other.items()}}
+    states = range(_CLEAN, _LOSS + 1)
+    path = {s: (0.0 if s == _CLEAN else _SWITCH, ()) for s in states}
+    for span in spans:
+        if LOST in span:
+            unknown = math.log(0.05 / (total + 1.0))
+            emit = {_CLEAN: (unknown + _CONTROL * span.count(LOST), span)}
+            for k, gap in gaps(span).items():
+                fits = [(math.log((c + 0.05) / (total + 1.0)) + fit(x), x) for x, c in found.get(span, ()) if gap.fits(x)]
+                best = max(fits, key=lambda f: (f[0], f[1]), default=(unknown, None))
+                # what no known character speaks for is a loss, not a channel's doing
+                emit[k] = best if best[0] > unknown else (unknown - 0.5 * (k != _LOSS), None)
+        else:
+            other = readings(span)
+            clean = likely(span) + (_VALID if any(CHANNELS[k][1] == "utf-8" for k in other) else 0.0)
+            emit = {_CLEAN: (clean, span), _LOSS: (clean, span), **{k: (likely(new), new) for k, new in other.items()}}
         top = max(path.values(), key=lambda p: p[0])
-        stay = {s: path[s] if path[s][0] >= top[0] + _SWITCH else (top[0] + _SWITCH, top[1]) for s in emit}
+        stay = {s: path[s] if s in path and path[s][0] >= top[0] + _SWITCH else (top[0] + _SWITCH, top[1]) for s in emit}
         path = {s: (stay[s][0] + e, (*stay[s][1], new)) for s, (e, new) in emit.items()}
-        path |= {s: (-1e9, ()) for s in states if s not in path}
-    best = max((path[s] for s in states), key=lambda p: p[0])[1]  # on a tie the clean state, then the channel named first
-    new = dict(zip(whole, best, strict=True))
-    damaged |= any(k != v for k, v in new.items())
-    if any(LOST in s and s not in found for s in spans):
+    best = max((path[s] for s in states if s in path), key=lambda p: p[0])[1]  # on a tie the clean state, then the channel named first
+    damaged = any(k != v for k, v in zip(spans, best, strict=True))
+    if None in best:
         return True, None
-    new |= {s: found[s] for s in spans if LOST in s}
+    new = dict(zip(spans, best, strict=True))
     return damaged, _SPAN.sub(lambda m: new.get(m.group(), m.group()), value) if damaged else value
 
 
@@ -175,38 +270,49 @@ def decode_values(values: DataFrame) -> DataFrame:
             words, lost = [], []
             for v in b["value"]:
                 spans = damaged_spans(v)
-                words.append(sorted({w for s in spans for form in (s, *readings(s).values()) for w in words_of(form)}))
+                words.append(sorted({w for s in spans if LOST not in s for form in (s, *readings(s).values()) for w in words_of(form)}))
                 lost.append([s for s in dict.fromkeys(spans) if LOST in s])
             yield pd.DataFrame({"value": b["value"], "words": words, "lost": lost})
 
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = durable(odd.repartition(parts, "value").mapInPandas(needs, "value string, words array<string>, lost array<string>"))
+    # by another hash than the aggregate's, which would leave the few bytes of these costly rows in one task
+    asked = durable(odd.repartition(parts, F.xxhash64("value")).mapInPandas(needs, "value string, words array<string>, lost array<string>"))
     known = asked.select("value", F.explode("words").alias("w")).join(frequency, "w").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("counts"))
 
-    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sought(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = b["span"]
-            yield pd.DataFrame({"span": s, "pattern": s.map(lost_pattern), "key": s.map(lambda x: re.sub(r"[^\x00-\x7f]", "", x)), "gap": s.str.count(r"[^\x00-\x7f]")})
+            rows = [(s, key) for s in b["span"] for key in {key for g in gaps(s).values() for key in g.keys()}]
+            yield pd.DataFrame(rows, columns=["span", "key"])
 
-    lost = asked.select(F.explode("lost").alias("span")).distinct().mapInPandas(patterns, "span string, pattern string, key string, gap int")
-    spans = each.select(F.explode(F.regexp_extract_all("value", F.lit(r"[A-Za-z0-9\x{80}-\x{10ffff}]+"), F.lit(0))).alias("s"), "n").where(F.col("s").rlike(r"[^\x00-\x7f]") & ~F.col("s").contains(LOST))
-    corpus = spans.groupBy("s").agg(F.sum("n").alias("c")).withColumn("key", F.regexp_replace("s", r"[^\x00-\x7f]", ""))
-    met = lost.join(corpus, "key").where(F.expr("s rlike pattern and (length(s) - length(key) = gap or octet_length(s) - length(key) = gap)"))
+    def offered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(s, c, key) for s, c in zip(b["s"], b["c"], strict=True) for key in fillings(s)]
+            yield pd.DataFrame(rows, columns=["s", "c", "key"])
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(c=[math.log(c) + fit(s) for c, s in zip(b["c"], b["s"], strict=True)])
+            rows = [(span, k, math.log(c) + fit(s), s, c) for span, s, c in zip(b["span"], b["s"], b["c"], strict=True) for k, g in gaps(span).items() if g.fits(s)]
+            yield pd.DataFrame(rows, columns=["span", "state", "score", "s", "c"])
 
-    weighed = met.select("span", "s", F.col("c").cast("double").alias("c")).mapInPandas(weigh, "span string, s string, c double")
-    filled = weighed.groupBy("span").agg(F.max(F.struct("c", "s")).alias("b")).select("span", F.col("b.s").alias("s"))
+    lost = asked.select(F.explode("lost").alias("span")).distinct().mapInPandas(sought, "span string, key string")
+    spans = each.select(F.explode(F.regexp_extract_all("value", F.lit(r"[A-Za-z0-9\x{80}-\x{10ffff}]+"), F.lit(0))).alias("s"), "n").where(F.col("s").rlike(r"[^\x00-\x7f]") & ~F.col("s").contains(LOST))
+    corpus = spans.groupBy("s").agg(F.sum("n").alias("c")).mapInPandas(offered, "s string, c bigint, key string")
+    met = lost.join(corpus, "key").select("span", "s", "c").distinct().mapInPandas(fitting, "span string, state int, score double, s string, c bigint")
+    # the search asks for the likeliest span of a state only, so one a state is gathered
+    likeliest = met.groupBy("span", "state").agg(F.max(F.struct("score", "s", "c")).alias("b")).select("span", "b.s", "b.c").distinct()
+    filled = likeliest.groupBy("span").agg(F.collect_list(F.struct("s", "c")).alias("s"))
     fills = asked.select("value", F.explode("lost").alias("span")).join(filled, "span").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("span", "s"))).alias("found"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [decode(v, dict(c) if c is not None else {}, total, dict(f) if f is not None else {}) for v, c, f in zip(b["value"], b["counts"], b["found"], strict=True)]
+            got = []
+            for v, c, f in zip(b["value"], b["counts"], b["found"], strict=True):
+                table = {} if f is None else {span: [(x["s"], x["c"]) for x in xs] for span, xs in dict(f).items()}
+                got.append(decode(v, dict(c) if c is not None else {}, total, table))
             yield pd.DataFrame({"value": b["value"], "damaged": [d for d, _ in got], "original": [o for _, o in got]})
 
-    decoded = asked.select("value").join(known, "value", "left").join(fills, "value", "left").repartition(parts, "value").mapInPandas(search, "value string, damaged boolean, original string")
+    joined = asked.select("value").join(known, "value", "left").join(fills, "value", "left")
+    decoded = joined.repartition(parts, F.xxhash64("value")).mapInPandas(search, "value string, damaged boolean, original string")
     out = rows.join(decoded, "value", "left")
     return out.select("field", "doc_id", "value", F.coalesce("damaged", F.lit(False)).alias("damaged"), F.when(F.col("damaged").isNull(), F.col("value")).otherwise(F.col("original")).alias("original"))
 

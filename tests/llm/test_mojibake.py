@@ -1,6 +1,6 @@
 import pytest
 
-from corpusloom.llm.mojibake import CHANNELS, decode_values, fit, lost_pattern, reread
+from corpusloom.llm.mojibake import CHANNELS, decode_values, decode, fillings, fit, gaps, reread
 
 CLEAN = ["Prüfung der Probe", "Société Générale", "Año 1950", "“quoted words” here", "Zoë Brážby", "Отчёт 1950", "Αναφορά 1960", "SOÃLER, JOÃO", "31 °C ± 4%", "name™ survey", "plain"] * 20
 ENC = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("cp1252", "cp437"), ("cp1252", "cp1251")]
@@ -28,11 +28,36 @@ def test_fit_prefers_words_of_one_script():
     assert fit("SOÃLER") == 0 > fit("FlÃmby")
 
 
-def test_lost_pattern():
-    import re
+def test_lattices_with_wildcards():
+    lost = gaps("Pr\ufffdfung")
+    assert len(lost) == 1
+    (gap,) = lost.values()
+    assert gap.fits("Prüfung") and not gap.fits("Pruefung") and not gap.fits("Prüfing")
+    assert set(gap.keys()) & set(fillings("Prüfung"))
+    # half of a character is lost: the lead byte is known, so only what it can begin fits
+    both = gaps("MÃ\ufffdller")
+    fits = {CHANNELS[k]: g for k, g in both.items() if k < len(CHANNELS)}
+    utf8 = fits["cp1252", "utf-8", 1]
+    assert utf8.fits("Müller") and not utf8.fits("Mœller")
+    assert set(utf8.keys()) & set(fillings("Müller"))
+    assert gaps("\ufffd\ufffd\ufffd")[len(CHANNELS)].keys() == []
 
-    assert re.match(lost_pattern("Pr�fung"), "Prüfung")
-    assert not re.match(lost_pattern("Pr�fung"), "Pruefung")
+
+def test_a_lost_byte_in_a_garbled_span_is_decoded_in_the_search():
+    counts, found = {"müller": 50, "hans": 50}, {"MÃ\ufffdller": [("Müller", 50)]}
+    assert decode("Hans MÃ\ufffdller", counts, 1000, found) == (True, "Hans Müller")
+    assert decode("Hans MÃ\ufffdller", counts, 1000, {}) == (True, None)
+    assert decode("Hans MÃ¼ller", counts, 1000, {}) == (True, "Hans Müller")
+    assert decode("CONCEIÇÃO-VAREL, JÂ", {"conceição": 40, "varel": 40, "jâ": 37, "j": 900}, 100_000, {}) == (False, "CONCEIÇÃO-VAREL, JÂ")
+
+
+def test_many_lost_names_of_another_script(spark):
+    """Names without an ASCII letter meet by what is left of them, not all each other."""
+    names = ["".join(chr(0x430 + (k * 7 + j * (k % 11 + 3)) % 32) for j in range(9)) for k in range(800)]
+    rows = [("f", k, n) for k, n in enumerate(names)] * 2 + [("f", 10_000 + k, n[:4] + "\ufffd" + n[5:]) for k, n in enumerate(names)]
+    got = {r["doc_id"]: (r["damaged"], r["original"]) for r in decode_values(spark.createDataFrame(rows, "field string, doc_id long, value string")).collect()}
+    assert sum(got[10_000 + k] == (True, n) for k, n in enumerate(names)) >= 0.99 * len(names)
+    assert not any(got[k][0] for k in range(len(names)))
 
 
 def test_damage_is_found_and_undone(spark):
