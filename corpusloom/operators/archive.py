@@ -20,7 +20,13 @@ class Archive:
 
     @property
     def docs(self) -> DataFrame:
-        return self.raw("docs").distinct()
+        return self.docs_of()
+
+    def docs_of(self, *columns: str) -> DataFrame:
+        """The docs, each once. With ``columns`` only these are read: repeated rows are equal in full and ``id`` tells docs apart, so the
+        rows are told apart by what is asked for."""
+        rows = self.raw("docs")
+        return (rows.select(*columns) if columns else rows).distinct()
 
     @property
     def doc_years(self) -> DataFrame:

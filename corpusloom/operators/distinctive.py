@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
 from ..functions.stats import signed_g2, smoothed_g2
 
 #: Words too common to tell texts apart.
@@ -61,6 +62,7 @@ def tf_l2(counts: DataFrame, doc: str) -> DataFrame:
 
 def tfidf_smooth(counts: DataFrame, doc: str) -> DataFrame:
     """(doc, token, tfidf): count * (ln((1 + docs) / (1 + df)) + 1), scaled the same way."""
+    counts = durable(counts)  # four branches read them, and they come from whole texts
     docs = counts.select(doc).distinct().agg(F.count("*").alias("_docs"))
     df = counts.groupBy("token").agg(F.count("*").alias("_df"))
     idf = F.ln((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1

@@ -32,9 +32,9 @@ def page_predicate(name: str) -> Column:
 
 
 def eligible(archive: Archive, f: Filters) -> DataFrame:
-    """The docs that meet a filter. Attributes of the doc are plain predicates that reach the scan; the multi-valued ones are
+    """(id, year, collection_id, pages) of the docs that meet a filter. Attributes of the doc are plain predicates that reach the scan; the multi-valued ones are
     semi-joins, so no doc is counted twice however many of its types or labels match."""
-    docs = archive.docs
+    docs = archive.docs_of("id", "year", "collection_id", "pages")
     if f.collections:
         docs = docs.where(F.col("collection_id").isin(f.collections))
     if f.min_pages is not None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
 from ..functions.stats import relative_frequency, share, z_score
 from .archive import Archive
 from .corpus import numbered
@@ -37,23 +38,29 @@ def densify(series: DataFrame, archive: Archive, keys: list[str], values: list[s
 
 def year_counts(archive: Archive, terms: list[str], docs: DataFrame | None = None) -> DataFrame:
     """(token, year, cnt) over the docs given, or all: one semi-join and one aggregate whatever the number of filters."""
-    years = (archive.docs if docs is None else docs).select(F.col("id").alias("unit_id"), "year").distinct()
+    years = archive.doc_years if docs is None else docs.select(F.col("id").alias("unit_id"), "year").distinct()
     return term_vector(archive, terms).join(years, "unit_id").groupBy("token", "year").agg(F.sum("tf").alias("cnt"))
 
 
-def year_totals(archive: Archive, docs: DataFrame | None = None) -> DataFrame:
-    years = (archive.docs if docs is None else docs).select(F.col("id").alias("unit_id"), "year").distinct()
-    return unit_totals(archive).join(years, "unit_id").groupBy("year").agg(F.sum("total").alias("total"))
+def year_totals(archive: Archive, docs: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    years = archive.doc_years if docs is None else docs.select(F.col("id").alias("unit_id"), "year").distinct()
+    return (unit_totals(archive) if totals is None else totals).join(years, "unit_id").groupBy("year").agg(F.sum("total").alias("total"))
 
 
-def token_series(archive: Archive, terms: list[str], filters: Filters | None = None) -> DataFrame:
-    """(token, year, cnt, total, freq): counts and relative frequencies of terms for every year."""
+def token_series(archive: Archive, terms: list[str], filters: Filters | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """(token, year, cnt, total, freq): counts and relative frequencies of terms for every year. ``totals`` are ``unit_totals`` that a
+    caller has at hand."""
     docs = eligible(archive, filters) if filters else None
     counts = densify(year_counts(archive, terms, docs), archive, ["token"], ["cnt"])
-    both = counts.join(F.broadcast(year_totals(archive, docs)), "year", "left").fillna(0, ["total"])
+    both = counts.join(F.broadcast(year_totals(archive, docs, totals)), "year", "left").fillna(0, ["total"])
     return both.withColumn("freq", F.round(relative_frequency(F.col("cnt"), F.col("total")), 9)).select("token", "year", "cnt", "total", "freq")
 
 
+def _ends(end: str) -> Column:
+    """Tokens that end so, by their stored reversal where they have one: two plain predicates, which the scan takes."""
+    return F.col("token_reversed").startswith(end[::-1]) | F.col("token_reversed").isNull() & F.col("token").endswith(end)
+
+
 def expand_wildcard(archive: Archive, pattern: str, limit: int = 10) -> DataFrame:
     """(token, ngram, total): the most frequent tokens that a term with ``*`` at one end stands for, of the same number of words.
 
@@ -63,7 +70,7 @@ def expand_wildcard(archive: Archive, pattern: str, limit: int = 10) -> DataFram
         raise ValueError("a wildcard at one end of the term is needed")
     n = len(pattern.split())
     rows = archive.raw("tokens").where(F.col("ngram") == n)
-    hits = rows.where(F.col("token").startswith(pattern[:-1])) if pattern.endswith("*") else rows.where(F.coalesce("token_reversed", F.reverse("token")).startswith(pattern[1:][::-1]))
+    hits = rows.where(F.col("token").startswith(pattern[:-1])) if pattern.endswith("*") else rows.where(_ends(pattern[1:]))
     found = hits.distinct().groupBy("token", "ngram").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     return found.orderBy(F.desc("total"), "token").limit(limit)
 
@@ -101,9 +108,9 @@ def known_terms(archive: Archive, terms: list[str]) -> DataFrame:
     return asked.join(held, ["token", "ngram"], "left").select("token", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def totals_by(archive: Archive, dim: DataFrame, key: str) -> DataFrame:
+def totals_by(archive: Archive, dim: DataFrame, key: str, totals: DataFrame | None = None) -> DataFrame:
     """(key, year, total): tokens by a dimension (unit_id, key) and year."""
-    return unit_totals(archive).join(dim, "unit_id").join(archive.doc_years, "unit_id").groupBy(key, "year").agg(F.sum("total").alias("total"))
+    return (unit_totals(archive) if totals is None else totals).join(dim, "unit_id").join(archive.doc_years, "unit_id").groupBy(key, "year").agg(F.sum("total").alias("total"))
 
 
 def collection_dim(archive: Archive, aggregates: dict[str, list[int]] | None = None) -> DataFrame:
@@ -126,7 +133,7 @@ def group_dim(archive: Archive, groups: dict[str, list[str]]) -> DataFrame:
     return type_dim(archive).join(F.broadcast(members), "doc_type").select("unit_id", "grp").distinct()
 
 
-def breakdown(archive: Archive, terms: list[str], dim: DataFrame, key: str, top: int | None = 9) -> DataFrame:
+def breakdown(archive: Archive, terms: list[str], dim: DataFrame, key: str, top: int | None = 9, totals: DataFrame | None = None) -> DataFrame:
     """(key, year, cnt, total, freq) of the terms together, by a dimension; the ``top`` keys of most hits, ties by key.
 
     All keys are counted in one grouped aggregate, so the top is exact.
@@ -136,7 +143,7 @@ def breakdown(archive: Archive, terms: list[str], dim: DataFrame, key: str, top:
     if top:
         best = series.groupBy(key).agg(F.sum("cnt").alias("all")).orderBy(F.desc("all"), key).limit(top)
         series = series.join(F.broadcast(best.select(key)), key, "left_semi")
-    both = series.join(totals_by(archive, dim, key), [key, "year"], "left").fillna(0, ["total"])
+    both = series.join(totals_by(archive, dim, key, totals), [key, "year"], "left").fillna(0, ["total"])
     return both.withColumn("freq", F.round(share(F.col("cnt"), F.col("total")), 9)).select(key, "year", "cnt", "total", "freq")
 
 
@@ -185,7 +192,7 @@ def doc_type_index(archive: Archive, min_docs: int = 100) -> DataFrame:
 
 def year_ranges(archive: Archive) -> DataFrame:
     """(year, min_id, max_id, n)."""
-    return archive.docs.groupBy("year").agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count("*").alias("n"))
+    return archive.docs_of("id", "year").groupBy("year").agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count("*").alias("n"))
 
 
 def year_range_counts(archive: Archive) -> DataFrame:
@@ -194,18 +201,22 @@ def year_range_counts(archive: Archive) -> DataFrame:
     Ranges overlap, so a doc can count for many years; a range's docs are the difference of the running numbers at its two ends, and no
     doc meets a range that it isn't an end of.
     """
-    ids = numbered(archive.docs.where("id is not null").groupBy("id").agg(F.count("*").alias("_k")), ["id"], "_before", F.col("_k"))
+    ids = numbered(archive.docs_of("id", "year").where("id is not null").groupBy("id").agg(F.count("*").alias("_k")), ["id"], "_before", F.col("_k"))
     ends = year_ranges(archive).where("year is not null").select(F.col("year").alias("range_year"), F.posexplode(F.array("min_id", "max_id")).alias("_top", "id"))
     n = F.sum(F.when(F.col("_top") == 1, F.col("_before") + F.col("_k")).otherwise(-F.col("_before")))
     return ids.join(F.broadcast(ends), "id").groupBy("range_year").agg(n.alias("n"))
 
 
 def ngram_result(archive: Archive, terms: list[str], filters: Filters, groups: dict[str, list[str]]) -> DataFrame:
-    """The whole answer to a frequency query, long: (kind, key, year, cnt, total, freq) with kinds token, collection, doc_type and group."""
-    tokens = token_series(archive, terms, filters).select(F.lit("token").alias("kind"), F.col("token").alias("key"), "year", "cnt", "total", "freq")
+    """The whole answer to a frequency query, long: (kind, key, year, cnt, total, freq) with kinds token, collection, doc_type and group.
+
+    The units' totals, the costliest part, and the eligible docs are computed once and written, as four series read them.
+    """
+    totals, docs = durable(unit_totals(archive)), durable(eligible(archive, filters).select(F.col("id").alias("unit_id")))
+    tokens = token_series(archive, terms, filters, totals).select(F.lit("token").alias("kind"), F.col("token").alias("key"), "year", "cnt", "total", "freq")
     parts = [tokens]
     for kind, dim, key, top in (("collection", collection_dim(archive), "collection", 9), ("doc_type", type_dim(archive), "doc_type", 9), ("group", group_dim(archive, groups), "grp", None)):
-        rows = breakdown(archive, terms, dim.join(eligible(archive, filters).select(F.col("id").alias("unit_id")), "unit_id", "left_semi"), key, top)
+        rows = breakdown(archive, terms, dim.join(docs, "unit_id", "left_semi"), key, top, totals)
         parts.append(rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "year", "cnt", "total", "freq"))
     out = parts[0]
     for p in parts[1:]:

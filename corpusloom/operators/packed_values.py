@@ -33,7 +33,7 @@ def split_packed(text: str | None, delimiters: str = DELIMITERS) -> list[str]:
     out: list[str] = []
     i, n = 0, len(text)
     enclosing: list[str] = []
-    closing = _closings(text) if any(c in text for c in BRACKETS) else {}
+    closing = _closings(text, delimiters) if any(c in text for c in BRACKETS) else {}
     while i < n:
         c = text[i]
         if c in delimiters or c.isspace():
@@ -78,7 +78,7 @@ def _at_end(text: str, k: int, delimiters: str) -> bool:
     return k >= len(text) or text[k] in delimiters or text[k] in BRACKETS.values()
 
 
-def _closings(text: str) -> dict[int, int]:
+def _closings(text: str, delimiters: str) -> dict[int, int]:
     """The place of the closing bracket of each opening one, quotes that begin a value skipped; one pass over the text."""
     pairs: dict[int, int] = {}
     open_at: list[int] = []
@@ -92,7 +92,7 @@ def _closings(text: str) -> dict[int, int]:
             open_at.append(k)
         elif open_at and c == BRACKETS[text[open_at[-1]]]:
             pairs[open_at.pop()] = k
-        fresh = c in DELIMITERS or c.isspace() or c in BRACKETS
+        fresh = c in delimiters or c.isspace() or c in BRACKETS
         k += 1
     return pairs
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["data_cleaning", "frequency_queries", "corpus_queries", "passage_queries", "network_queries", "stream_queries"]
+MODULES = ["data_cleaning", "frequency_queries", "corpus_queries", "passage_queries", "network_queries", "task_queries", "stream_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

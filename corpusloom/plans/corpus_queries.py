@@ -95,19 +95,11 @@ def text_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def timestamps_to_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Date and year of seconds since 1970, moved on by six hours. As its SQL has it, counts outside of the range of seconds, those in
-    other units too, give no row; ``counts_to_dates`` has every count."""
-    moved = F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, timestamp + 21600)")
-    rows = Archive(spark, d).docs.where("timestamp between -2200000000 and 1500000000").select("id", moved.alias("t"))
-    return rows.select("id", F.year("t").alias("y"), F.date_format("t", "yyyy-MM-dd").alias("day"))
-
-
-def counts_to_dates(spark: SparkSession, d: str) -> DataFrame:
     """Date and year of every count since 1970, of whatever unit, moved on by six hours. The unit is the one that gives the doc's year in
     its collection's home zone (UTC where that isn't known); a count that no unit brings into that year gives no row."""
     a = Archive(spark, d)
     zones = F.broadcast(a.raw("collections").select("collection_id", "home_zone"))
-    docs = a.docs.where("timestamp is not null").join(zones, "collection_id", "left")
+    docs = a.docs_of("id", "timestamp", "year", "collection_id").where("timestamp is not null").join(zones, "collection_id", "left")
     seconds = epoch_seconds(F.col("timestamp"), F.col("year"), F.coalesce("home_zone", F.lit("UTC")))
     moved = F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, s + 21600)")
     rows = docs.select("id", seconds.alias("s")).where("s is not null").select("id", moved.alias("t"))
@@ -118,7 +110,7 @@ def token_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Stated token counts, filled in from the text where they are missing."""
     a = Archive(spark, d)
     counted = a.words.select(F.col("doc_id").alias("id"), F.size("words").alias("counted"))
-    return a.docs.select("id", "no_tokens").join(counted, "id", "left").select("id", F.coalesce("no_tokens", "counted").alias("no_tokens"))
+    return a.docs_of("id", "no_tokens").join(counted, "id", "left").select("id", F.coalesce("no_tokens", "counted").alias("no_tokens"))
 
 
 def vocabulary_union(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +147,7 @@ def title_trigrams(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     text_postings_docs, text_postings_sections, section_bigrams, section_token_ranges, bigram_counts, trigram_counts_min5, five_gram_counts_min5,
     unigram_validity, apriori_bigrams, apriori_trigrams, dense_doc_ids, section_map, doc_admission, eav_rows, eav_pivot, contraction_expansion,
-    token_reversal, text_lengths, text_slices, timestamps_to_dates, counts_to_dates, token_backfill, vocabulary_union, collection_short_names, latest_events, nation_long, title_trigrams,
+    token_reversal, text_lengths, text_slices, timestamps_to_dates, token_backfill, vocabulary_union, collection_short_names, latest_events, nation_long, title_trigrams,
 )}
 
 
@@ -197,7 +189,10 @@ SQL = {
     "token_reversal": f"{BASE} select ngram, token, reverse(token) as token_reversed, sha256(token) as sha, md5(token) as md5 from v",
     "text_lengths": "select doc_id, cast(strlen(text) as integer) as n_bytes, cast(length(text) as integer) as n_characters from documents",
     "text_slices": "select doc_id, substring(text, 101, 100) as slice from documents where length(text) > 100",
-    "timestamps_to_dates": f"{BASE}, t as (select id, timestamp '1970-01-01' + to_seconds(timestamp + 21600) as t from d where timestamp between -2200000000 and 1500000000) select id, cast(year(t) as integer) as y, strftime(t, '%Y-%m-%d') as day from t",
+    "timestamps_to_dates": f"""{BASE}, z as (select id, year, timestamp as ts, coalesce(home_zone, 'UTC') as zone from d left join collections using (collection_id) where timestamp is not null),
+        u as (select id, year, zone, k, cast(floor(ts / n) as bigint) as s from (select *, cast(ts as hugeint) as ts0 from z), (values (1, 1), (2, 1000), (3, 1000000), (4, 1000000000)) as units(k, n)),
+        f as (select id, arg_min(s, k) as s from u where s between -5364662400 and 4102444800 and (year is null or year(timezone(zone, to_timestamp(case when s between -5364662400 and 4102444800 then s else 0 end))) = year) group by id),
+        t as (select id, timestamp '1970-01-01' + to_seconds(s + 21600) as t from f) select id, cast(year(t) as integer) as y, strftime(t, '%Y-%m-%d') as day from t""",
     "token_backfill": f"{BASE} select id, coalesce(no_tokens, cast(len(words) as integer)) as no_tokens from d left join w on d.id = w.doc_id",
     "vocabulary_union": f"{BASE} select ngram, token from v union select 1, 'denialist' union select 1, 'tobacco' union select 2, 'compound w'",
     "collection_short_names": "select collection_id, trim(replace(replace(replace(replace(name, 'Collection', ''), 'Records', ''), '(DTTR)', ''), '&', 'and')) as short_name from collections",

@@ -146,15 +146,7 @@ def year_id_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_range_join(spark: SparkSession, d: str) -> DataFrame:
-    """Docs by the year since 2010 whose range of ids they fall in, as its SQL has it; ``year_range_counts`` has every year. Ranges overlap,
-    as some docs came in late. The ranges are one row a year."""
-    a = Archive(spark, d)
-    ranges = fr.year_ranges(a).select(F.col("year").alias("range_year"), "min_id", "max_id").where("range_year >= 2010")
-    return a.docs.select("id").join(F.broadcast(ranges), F.col("id").between(F.col("min_id"), F.col("max_id"))).groupBy("range_year").agg(F.count("*").alias("n"))
-
-
-def year_range_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Docs by the year whose range of ids they fall in, for every year."""
+    """Docs by the year whose range of ids they fall in, for every year. Ranges overlap, as some docs came in late."""
     return fr.year_range_counts(Archive(spark, d))
 
 
@@ -199,7 +191,7 @@ QUERIES = {f.__name__: f for f in (
     token_year_counts, unit_totals_docs, unit_totals_sections, collection_totals, doc_type_totals, filter_combined_docs, filter_combined_counts,
     page_filter_counts, weighted_type_counts, term_filtered_counts, wildcard_prefix, wildcard_suffix, wildcard_bigram, term_existence, concrete_terms, units_of_terms,
     collection_breakdown_top9, doctype_breakdown, doctype_group_breakdown, ngram_query, zscore_vs_reference, moving_average_series,
-    padded_reference, doc_type_indexes, year_id_ranges, year_range_join, year_range_counts, vector_bag_sum, vector_mask, vector_year_ratio, vector_statistics,
+    padded_reference, doc_type_indexes, year_id_ranges, year_range_join, vector_bag_sum, vector_mask, vector_year_ratio, vector_statistics,
     incidence_long, missing_years,
 )}
 
@@ -276,7 +268,7 @@ SQL = {
     "padded_reference": f"{BASE}, {_REF} select 'tobacco' as token, cal.year, last_value(ref_cnt ignore nulls) over (order by cal.year rows between unbounded preceding and current row) as ref_cnt from cal left join rc on rc.year = cal.year and rc.token = 'tobacco'",
     "doc_type_indexes": f"{BASE} select doc_type, n, cast(row_number() over (order by n desc, doc_type) - 1 as integer) as idx from (select doc_type, count(*) as n from ty group by 1 having count(*) >= 100)",
     "year_id_ranges": f"{BASE} select year, min(id) as min_id, max(id) as max_id, count(*) as n from d group by year",
-    "year_range_join": f"{BASE}, r as (select year as range_year, min(id) as lo, max(id) as hi from d where year >= 2010 group by year) select range_year, count(*) as n from d join r on d.id between lo and hi group by range_year",
+    "year_range_join": f"{BASE}, r as (select year as range_year, min(id) as lo, max(id) as hi from d group by year) select range_year, count(*) as n from d join r on d.id between lo and hi group by range_year",
     "vector_bag_sum": f"{BASE}, {_HITS} select unit_id, cast(sum(tf) as bigint) as tf from h group by unit_id",
     "vector_mask": f"{BASE}, {_HITS} select unit_id, tf from h where token = 'tobacco' and unit_id in (select unit_id from h where token = 'account')",
     "vector_year_ratio": f"{BASE}, {_HITS}, c as (select token, year, sum(tf) as cnt from h join y using (unit_id) group by all) select a.year, round(coalesce(a.cnt::double / b.cnt, 0), 9) as ratio from c a left join c b on a.year = b.year and b.token = 'tobacco' where a.token = 'account'",

@@ -17,7 +17,7 @@ MAIN = "Niatius, NR"
 
 
 def _tokens(a: Archive) -> DataFrame:
-    return a.docs.select(F.col("id").alias("doc_id"), F.coalesce("no_tokens", F.lit(0)).cast("bigint").alias("no_tokens"))
+    return a.docs_of("id", "no_tokens").select(F.col("id").alias("doc_id"), F.coalesce("no_tokens", F.lit(0)).cast("bigint").alias("no_tokens"))
 
 
 def person_names(spark: SparkSession, d: str) -> DataFrame:
@@ -141,10 +141,11 @@ def pages_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interpolated_series(spark: SparkSession, d: str) -> DataFrame:
-    """Docs of a collection a year, years without any filled on the line between their neighbours."""
+    """Docs of every collection a year, years without any filled on the line between their neighbours."""
     a = Archive(spark, d)
-    known = a.docs.where("collection_id = 111").groupBy("year").agg(F.count("*").cast("double").alias("value"))
-    return si.interpolated(fr.years_of(a).join(known, "year", "left").withColumn("k", F.lit(1)), "k").select("year", "value")
+    known = a.docs.groupBy("collection_id", "year").agg(F.count("*").cast("double").alias("value"))
+    grid = known.select("collection_id").distinct().join(F.broadcast(fr.years_of(a)))
+    return si.interpolated(grid.join(known, ["collection_id", "year"], "left"), "collection_id").select("collection_id", "year", "value")
 
 
 def next_words(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +160,7 @@ def place_mentions(spark: SparkSession, d: str) -> DataFrame:
 def zone_series(spark: SparkSession, d: str) -> DataFrame:
     """Term occurrences by home zone, type group and year, per million tokens: one grouped aggregate for all series."""
     a = Archive(spark, d)
-    zones = a.docs.select(F.col("id").alias("unit_id"), "collection_id").join(F.broadcast(a.raw("collections").select("collection_id", "home_zone")), "collection_id").select("unit_id", "home_zone")
+    zones = a.docs_of("id", "collection_id").select(F.col("id").alias("unit_id"), "collection_id").join(F.broadcast(a.raw("collections").select("collection_id", "home_zone")), "collection_id").select("unit_id", "home_zone")
     return fr.breakdown(a, ["tobacco"], zones, "home_zone", None)
 
 
@@ -211,9 +212,9 @@ def _edges(src: str) -> str:
 
 _TOP = "tn as (select node, count(*) as n from (select distinct doc_id, unnest([author, recipient]) as node from l) group by node)"
 _LEX = "lx as (select * from (values " + ", ".join(f"('{t}', '{e}', {v}::double)" for t, e, v in LEXICON) + ") as x(token, emotion, value)), sc as (select doc_id, emotion, round(sum(value), 6) as score, array_to_string(list_sort(list_distinct(list(case when value > 0 then token end))), ' ') as matched from (select doc_id, unnest(words) as token from w) join lx using (token) group by all)"
-_FILLED = """k as (select cal.year, n from cal left join (select year, count(*)::double as n from d where collection_id = 111 group by year) c on c.year = cal.year),
-    f as (select year, n, last_value(case when n is not null then year end ignore nulls) over a as ya, last_value(n ignore nulls) over a as va, first_value(case when n is not null then year end ignore nulls) over b as yb, first_value(n ignore nulls) over b as vb from k
-        window a as (order by year rows between unbounded preceding and current row), b as (order by year rows between current row and unbounded following))"""
+_FILLED = """k as (select collection_id, year, n from (select distinct collection_id from d) cross join cal left join (select collection_id, year, count(*)::double as n from d group by all) c using (collection_id, year)),
+    f as (select collection_id, year, n, last_value(case when n is not null then year end ignore nulls) over a as ya, last_value(n ignore nulls) over a as va, first_value(case when n is not null then year end ignore nulls) over b as yb, first_value(n ignore nulls) over b as vb from k
+        window a as (partition by collection_id order by year rows between unbounded preceding and current row), b as (partition by collection_id order by year rows between current row and unbounded following))"""
 
 SQL = {
     "person_names": f"{BASE} select doc_id, unnest(regexp_extract_all(author, '[A-Z][a-zA-Z]+[, -]+[A-Z]{{1,3}}')) as person from (select distinct * from authors where trim(author) <> '')",
@@ -244,7 +245,7 @@ SQL = {
     "pages_as_of": f"""{BASE}, k as (select collection_id, year as y, cast(sum(pages) as bigint) as value from d where pages is not null group by all),
         a as (select distinct collection_id, cast(yr as integer) as year, greatest(1901, least(2016, yr)) as pt from d, unnest([1880, 1903, 1931, 1950, 1999, 2016, 2040]) as u(yr))
         select a.collection_id, a.year, coalesce(arg_min(value, y) filter (where y >= pt), arg_max(value, y) filter (where y < pt)) as value from a left join k using (collection_id) group by all""",
-    "interpolated_series": f"{BASE}, {_FILLED} select year, round(coalesce(n, va + (vb - va) * ((year - ya) / nullif(yb - ya, 0))), 6) as value from f",
+    "interpolated_series": f"{BASE}, {_FILLED} select collection_id, year, round(coalesce(n, va + (vb - va) * ((year - ya) / nullif(yb - ya, 0))), 6) as value from f",
     "next_words": f"{BASE}, f as (select * from v where ngram = 3 and token like 'statistical questionnaire %') select token, ngram, total, round(total / (select sum(total) from f), 6) as share from f",
     "place_mentions": f"{BASE} select doc_id, upper(t[1]) || t[2:] as place, count(*) as n from (select doc_id, unnest(words) as t from w) where t in ('corvale', 'eastholm', 'kelbridge', 'vantry', 'zellwood') group by all",
     "zone_series": f"""{BASE}, z as (select id as unit_id, home_zone from d join collections using (collection_id)),

@@ -129,25 +129,6 @@ def tfidf_smooth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _policy(a: Archive) -> DataFrame:
-    terms = a.vocabulary.where("ngram = 1 and total > 100 and length(token) > 1 and not token rlike '^[0-9]+$'").select("token")
-    short = a.docs.where("coalesce(pages, 0) <= 5").select(F.col("id").alias("unit_id"), "year").distinct()
-    rows = a.raw("postings").where("unit = 'docs'").distinct().join(terms, "token", "left_semi").join(short, "unit_id")
-    counts = rows.groupBy("token", "year").agg(F.sum("tf").alias("cnt"))
-    totals = fr.unit_totals(a).join(short, "unit_id").groupBy("year").agg(F.sum("total").alias("total"))
-    return fr.densify(counts, a, ["token"], ["cnt"]).join(F.broadcast(totals), "year", "left").fillna(0, ["total"])
-
-
-def policy_changepoints(spark: SparkSession, d: str) -> DataFrame:
-    """Four years before against four years after, for every year and frequent word of short docs of all collections together, as its SQL
-    has it; ``policy_changepoints_by_collection`` has every n-gram by collection."""
-    return di.change_points(_policy(Archive(spark, d)), ["token"])
-
-
-def policy_adoptions(spark: SparkSession, d: str) -> DataFrame:
-    return di.adoption(di.change_points(_policy(Archive(spark, d)), ["token"]), ["token"])
-
-
-def _policy_of_collections(a: Archive) -> DataFrame:
     """(collection_id, token, year, cnt, total) of short docs: every n-gram above the total of which no word is a single character or a
     number, in every collection and year, 0 where there was none."""
     sound = "not exists(split(token, ' '), x -> length(x) < 2 or x rlike '^[0-9]+$')"
@@ -167,20 +148,20 @@ def _policy_of_collections(a: Archive) -> DataFrame:
     return each.select("collection_id", "token", "y.year", F.coalesce(F.try_element_at("held", F.col("y.year")), F.lit(0)).alias("cnt"), "y.total")
 
 
-def policy_changepoints_by_collection(spark: SparkSession, d: str) -> DataFrame:
+def policy_changepoints(spark: SparkSession, d: str) -> DataFrame:
     """Four years before against four years after, for every collection, year and frequent n-gram of short docs."""
-    return di.change_points(_policy_of_collections(Archive(spark, d)), ["collection_id", "token"])
+    return di.change_points(_policy(Archive(spark, d)), ["collection_id", "token"])
 
 
-def policy_adoptions_by_collection(spark: SparkSession, d: str) -> DataFrame:
-    return di.adoption(policy_changepoints_by_collection(spark, d), ["collection_id", "token"])
+def policy_adoptions(spark: SparkSession, d: str) -> DataFrame:
+    """The year of the strongest rise and of the strongest fall of every frequent n-gram in every collection."""
+    return di.adoption(policy_changepoints(spark, d), ["collection_id", "token"])
 
 
 QUERIES = {f.__name__: f for f in (
     term_cooccurrence_units, term_cooccurrence_sections, section_islands, hit_positions, keyword_passages, highlighted_passages, passage_readability,
     passage_sample, documents_by_year, doc_headers, frequent_authors, distinctive_terms, all_term_comparison, distinctive_terms_by_collection,
     distinctive_term_years, frequent_terms, doc_set_totals, tf_l2, tfidf_smooth, policy_changepoints, policy_adoptions,
-    policy_changepoints_by_collection, policy_adoptions_by_collection,
 )}
 
 _S = quoted(di.STOP_WORDS)
@@ -206,15 +187,16 @@ _PASSAGES = f"{_PANEL}, pas as (select * from (select doc_id, year, hit, {_WIN}
 _CIGAR = _PASSAGES.replace(f"regexp_matches(t, '{_B}panel{_E}')", f"regexp_matches(t, '{_B}panel{_E}') and regexp_matches(t, '{_B}cigar')").replace(f"regexp_matches(passage, '{_B}panel{_E}')", f"regexp_matches(passage, '{_B}panel{_E}') and regexp_matches(passage, '{_B}cigar')")
 _READ = "rd as (select doc_id, hit, round(avg(case when token in (select token from v where ngram = 1) then 1 else 0 end), 6) as readability from (select doc_id, hit, unnest(regexp_split_to_array(trim(passage), '\\s+')) as token from pas) group by all)"
 _POLICY = f"""
-    tm as (select token from v where ngram = 1 and total > 100 and length(token) > 1 and not regexp_matches(token, '^[0-9]+$')),
-    sh as (select distinct id as unit_id, year from d where coalesce(pages, 0) <= 5),
-    c as (select token, year, sum(tf) as cnt from p join sh using (unit_id) where unit = 'docs' and token in (select token from tm) group by all),
-    st as (select year, sum(total) as total from tot join sh using (unit_id) group by year),
-    se as (select k.token, cal.year, coalesce(cnt, 0) as cnt, coalesce(total, 0) as total from (select distinct token from c) k cross join cal left join c on c.token = k.token and c.year = cal.year left join st on st.year = cal.year),
-    ws as (select token, year, sum(cnt) over l as b4, sum(cnt) over r as af, (sum(total) over l)::double as t1, (sum(total) over r)::double as t2, count(*) over l as n1, count(*) over r as n2 from se
-        window l as (partition by token order by year range between 4 preceding and 1 preceding), r as (partition by token order by year range between 1 following and 4 following)),
+    tm as (select distinct token from v where total > 100 and not regexp_matches(token, '(^| )([^ ]|[0-9]+)($| )')),
+    sh as (select distinct id as unit_id, collection_id, year from d where coalesce(pages, 0) <= 5 and year is not null),
+    c as (select collection_id, token, year, sum(tf) as cnt from p join sh using (unit_id) where unit = 'docs' and token in (select token from tm) group by all),
+    st as (select collection_id, year, sum(total) as total from tot join sh using (unit_id) group by all),
+    se as (select collection_id, token, year, coalesce(cnt, 0) as cnt, coalesce(total, 0) as total
+        from (select collection_id, token, cal.year from (select distinct collection_id from sh) cross join tm cross join cal) left join c using (collection_id, token, year) left join st using (collection_id, year)),
+    ws as (select collection_id, token, year, sum(cnt) over l as b4, sum(cnt) over r as af, (sum(total) over l)::double as t1, (sum(total) over r)::double as t2, count(*) over l as n1, count(*) over r as n2 from se
+        window l as (partition by collection_id, token order by year range between 4 preceding and 1 preceding), r as (partition by collection_id, token order by year range between 1 following and 4 following)),
     ab as (select *, (b4 + 1)::double as a, (af + 1)::double as b from ws where n1 = 4 and n2 = 4 and t1 > 0 and t2 > 0),
-    pts as (select token, year, cast(b4 as bigint) as before, cast(af as bigint) as after, round((case when a > t1 * (a + b) / (t1 + t2) then -1 else 1 end)
+    pts as (select collection_id, token, year, cast(b4 as bigint) as before, cast(af as bigint) as after, round((case when a > t1 * (a + b) / (t1 + t2) then -1 else 1 end)
         * 2 * (a * ln(a / (t1 * (a + b) / (t1 + t2))) + b * ln(b / (t2 * (a + b) / (t1 + t2)))), 6) as dunning from ab)
 """
 
@@ -244,5 +226,5 @@ SQL = {
     "tf_l2": f"{BASE}, c as (select doc_id, token, count(*) as n from (select doc_id, unnest(words) as token from w) group by all) select doc_id, token, round(n / sqrt(sum((n * n)::double) over (partition by doc_id)), 6) as tf from c",
     "tfidf_smooth": f"{BASE}, c as (select doc_id, token, count(*) as n from (select doc_id, unnest(words) as token from w) group by all), e as (select doc_id, token, n * (ln((1 + (select count(distinct doc_id) from c)) / (1 + count(*) over (partition by token))::double) + 1) as w from c) select doc_id, token, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as tfidf from e",
     "policy_changepoints": f"{BASE}, {_POLICY} select * from pts",
-    "policy_adoptions": f"{BASE}, {_POLICY} select token, arg_max(year, (dunning, -year)) as adopted, max(dunning) as rise, arg_min(year, (dunning, year)) as ended, min(dunning) as fall from pts group by token",
+    "policy_adoptions": f"{BASE}, {_POLICY} select collection_id, token, arg_max(year, (dunning, -year)) as adopted, max(dunning) as rise, arg_min(year, (dunning, year)) as ended, min(dunning) as fall from pts group by collection_id, token",
 }

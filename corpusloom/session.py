@@ -18,6 +18,7 @@ def build_session(app: str = "corpusloom", cpus: int | str = "*", **conf: str) -
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )
@@ -31,7 +32,7 @@ def build_session(app: str = "corpusloom", cpus: int | str = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session (tests, a laptop) makes one of its own where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name its shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return spark.sparkContext.getCheckpointDir()
 
