@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import durable
 
@@ -16,30 +20,80 @@ def _dot(a: str, b: str, k: int):
     return reduce(lambda x, y: x + y, [F.col(f"{a}{i}") * F.col(f"{b}{i}") for i in range(k)])
 
 
-def nmf(weights: DataFrame, k: int = 5, steps: int = 8, seed: str = "0") -> tuple[DataFrame, DataFrame]:
-    """(W, H) of a long matrix (doc, token, value): W has (doc, w0..), H (token, h0..), all >= 0.
-
-    Each half step is two aggregates over the cells and a k x k product that is one row, so no step holds a dense matrix and neither
-    side is collected. The start is a hash of the key, so a run repeats. Factors are checkpointed every step to cut lineage.
-    """
-    cells = durable(weights.select("doc", "token", F.col("value").cast("double").alias("value")))
+def _doc_factors(index: np.ndarray, value: np.ndarray, ends: np.ndarray, h: np.ndarray, inner: int, sparsity: float) -> np.ndarray:
+    """The factors of some docs for given terms' factors: ``inner`` multiplicative updates from an even start. A doc's cells are a
+    stretch of ``index`` and ``value`` that ends at its ``ends``."""
+    k = h.shape[0]
+    top = np.add.reduceat((h[:, index] * value).T, np.concatenate([[0], ends[:-1]]), axis=0)
+    gram = h @ h.T
+    w = np.full((len(ends), k), 1.0)
+    for _ in range(inner):
+        w *= top / (w @ gram + sparsity + 1e-12)
+    return w
 
-    def start(keys: DataFrame, key: str, p: str) -> DataFrame:
-        return keys.select(key, *[((F.pmod(F.xxhash64(key, F.lit(f"{seed}{p}{i}")), F.lit(1000)) + 1) / 1000.0).alias(f"{p}{i}") for i in range(k)])
 
-    w, h = start(cells.select("doc").distinct(), "doc", "w"), start(cells.select("token").distinct(), "token", "h")
-
-    def update(own: DataFrame, other: DataFrame, key: str, other_key: str, p: str, q: str) -> DataFrame:
-        top = cells.join(other, other_key).groupBy(key).agg(*[F.sum(F.col("value") * F.col(f"{q}{i}")).alias(f"_t{i}") for i in range(k)])
-        gram = other.agg(*[F.sum(F.col(f"{q}{i}") * F.col(f"{q}{j}")).alias(f"_g{i}_{j}") for i in range(k) for j in range(k)])
-        full = own.join(top, key).join(F.broadcast(gram))
-        below = [reduce(lambda x, y: x + y, [F.col(f"{p}{j}") * F.col(f"_g{j}_{i}") for j in range(k)]) for i in range(k)]
-        return durable(full.select(key, *[(F.col(f"{p}{i}") * F.col(f"_t{i}") / (below[i] + 1e-12)).alias(f"{p}{i}") for i in range(k)]))
+def nmf(weights: DataFrame, k: int = 20, steps: int = 30, seed: str = "0", sparsity: float = 0.0, tolerance: float = 1e-4, most_terms: int = 50_000, inner: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(W, H) of a long matrix (doc, token, value): W has (doc, w0..), H (token, h0..), all >= 0.
 
+    The vocabulary must hold ``most_terms`` tokens at most (it is a top-k by nature; more are an error), so the terms' factors are
+    small: they go out with each pass, and each partition sends back one k-vector a token and one k x k product. Docs, which grow
+    without bound, are grouped once; their factors follow from the terms' and are never shuffled, written or gathered. ``sparsity`` is an L1
+    penalty on the docs' factors. It ends after ``steps`` passes, or when the squared error falls by less than ``tolerance`` of itself.
+    An empty matrix gives two empty tables. The start is a hash of the token, so a run repeats.
+    """
+    cells = weights.select("doc", "token", F.col("value").cast("double").alias("value")).where("value > 0")
+    spark = weights.sparkSession
+    kinds = {c: weights.schema[c].dataType.simpleString() for c in ("doc", "token")}
+    tokens = [r[0] for r in cells.select("token").distinct().orderBy("token").limit(most_terms + 1).collect()]
+    if len(tokens) > most_terms:
+        raise ValueError(f"more than {most_terms} terms: limit the vocabulary first")
+    if not tokens:
+        empty = ", ".join(f"w{i} double" for i in range(k))
+        return spark.createDataFrame([], f"doc {kinds['doc']}, {empty}"), spark.createDataFrame([], f"token {kinds['token']}, {empty.replace('w', 'h')}")
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(tokens)), f"_n int, token {kinds['token']}"))
+    rows = durable(cells.join(numbers, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("_n", "value"))).alias("c")).select("doc", F.col("c._n").alias("at"), F.col("c.value").alias("value")))
+    n = len(tokens)
+    h = np.random.default_rng(int.from_bytes(seed.encode(), "big")).random((k, n)) + 0.01
+    total = cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
+
+    def factors(h: np.ndarray):
+        def of(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            index, value = np.concatenate(b["at"].to_numpy()), np.concatenate(b["value"].to_numpy())
+            ends = np.cumsum([len(x) for x in b["at"]])
+            return _doc_factors(index, value, ends, h, inner, sparsity), index, value, ends
+
+        return of
+
+    last = np.inf
     for _ in range(steps):
-        h = update(h, w, "token", "doc", "h", "w")
-        w = update(w, h, "doc", "token", "w", "h")
-    return w, h
+        of = factors(h)
+
+        def sums(batches: Iterator[pd.DataFrame], of=of) -> Iterator[pd.DataFrame]:
+            top, gram = np.zeros((n, k)), np.zeros((k, k))
+            for b in batches:
+                w, index, value, ends = of(b)
+                np.add.at(top, index, np.repeat(w, np.diff(np.concatenate([[0], ends])), axis=0) * value[:, None])
+                gram += w.T @ w
+            full = np.vstack([top, gram])
+            yield pd.DataFrame({"_n": np.arange(n + k), "v": list(full)})
+
+        added = rows.select("at", "value").mapInPandas(sums, "_n int, v array<double>").groupBy("_n").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(k)]).alias("v")).orderBy("_n").collect()
+        full = np.array([r["v"] for r in added])
+        top, gram = full[:n].T, full[n:]
+        h = h * top / (gram @ h + 1e-12)
+        error = total - 2 * float((h * top).sum()) + float(np.trace(gram @ (h @ h.T)))
+        if last - error < tolerance * max(last, 0.0) and last < np.inf:
+            break
+        last = error
+    of = factors(h)
+
+    def docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc": b["doc"], "v": list(of(b)[0])})
+
+    w = durable(rows.mapInPandas(docs, f"doc {kinds['doc']}, v array<double>")).select("doc", *[F.col("v")[i].alias(f"w{i}") for i in range(k)])
+    terms = spark.createDataFrame([(t, *map(float, h[:, i])) for i, t in enumerate(tokens)], f"token {kinds['token']}, " + ", ".join(f"h{i} double" for i in range(k)))
+    return w, terms
 
 
 def nmf_error(weights: DataFrame, w: DataFrame, h: DataFrame, k: int) -> float:
@@ -64,7 +118,34 @@ def topic_docs(weights: DataFrame, terms: DataFrame, n: int = 1000) -> DataFrame
     return top_by(scored, "topic", "weight", "doc", n)
 
 
-def lda(words: DataFrame, vocabulary: list[str], k: int = 5, steps: int = 20) -> DataFrame:
+def local_idf(counts: DataFrame, doc: str, scores: DataFrame) -> DataFrame:
+    """(doc, token, value): counts weighed by how distinctive a term is (token, g2) in place of its document frequency, scaled so that a
+    doc's squares add up to 1; terms that are rarer than expected weigh nothing."""
+    weighed = counts.join(scores.where("g2 > 0").select("token", "g2"), "token").withColumn("_w", F.col("n") * F.ln(F.col("g2") + 1))
+    norm = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return weighed.join(norm, doc).select(F.col(doc).alias("doc"), "token", (F.col("_w") / F.col("_norm")).alias("value"))
+
+
+def topics(weights: DataFrame, k: int = 20, terms: int = 6, docs: int = 1000, least: int = 50, **kw) -> DataFrame:
+    """(topic, kind, key, weight, place): the strongest terms of each topic and the docs that hold them most, topics by the weight of
+    their docs, the heaviest 0. Fewer than ``least`` docs give nothing."""
+    if weights.select("doc").distinct().limit(least).count() < least:
+        return weights.sparkSession.createDataFrame([], "topic int, kind string, key string, weight double, place int")
+    _, h = nmf(weights, k, **kw)
+    strongest = durable(topic_terms(h, k, terms))
+    ranked = durable(topic_docs(weights, strongest, docs))
+    heavy = ranked.groupBy("topic").agg(F.sum("weight").alias("_w"))
+    order = heavy.select(F.col("topic").alias("_t"), (F.row_number().over(Window.orderBy(F.desc("_w"), "topic")) - 1).alias("_p"))  # k rows
+
+    def rows(df: DataFrame, kind: str, key: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), key))
+        return df.select("topic", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "weight", place.alias("place"))
+
+    both = rows(strongest, "term", "token").unionByName(rows(ranked, "doc", "doc"))
+    return both.join(F.broadcast(order), F.col("topic") == F.col("_t")).select(F.col("_p").alias("topic"), "kind", "key", "weight", "place")
+
+
+def lda(words: DataFrame, vocabulary: list[str], k: int = 20, steps: int = 100) -> DataFrame:
     """(topic, token, weight) of LDA's topics over (doc_id, words); the vocabulary is a bounded list."""
     model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
     fitted = LDA(k=k, maxIter=steps, seed=7, optimizer="em").fit(model.transform(words))

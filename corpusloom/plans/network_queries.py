@@ -11,6 +11,7 @@ from ..operators import side as si
 from ..operators import topics as to
 from ..operators.archive import Archive
 from ..operators.distinctive import STOP_WORDS, count_words, limited_vocabulary, tfidf_smooth, winners_by, compare
+from ..session import durable
 from .common import BASE, quoted
 
 MAIN = "Niatius, NR"
@@ -164,31 +165,44 @@ def zone_series(spark: SparkSession, d: str) -> DataFrame:
     return fr.breakdown(a, ["tobacco"], zones, "home_zone", None)
 
 
-def _matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
     a = Archive(spark, d)
-    counts = count_words(a.words, ["doc_id"])
-    vocabulary = limited_vocabulary(counts.groupBy("token").agg(F.sum("n").alias("n")), 1000, 5)
+    counts = durable(count_words(a.words, ["doc_id"]))
+    vocabulary = limited_vocabulary(counts.groupBy("token").agg(F.sum("n").alias("n")), 5000, 10)
     kept = counts.join(F.broadcast(vocabulary.select("token")), "token", "left_semi")
-    return tfidf_smooth(kept, "doc_id").select(F.col("doc_id").alias("doc"), "token", F.col("tfidf").alias("value")), vocabulary
+    return durable(tfidf_smooth(kept, "doc_id").select(F.col("doc_id").alias("doc"), "token", F.col("tfidf").alias("value")))
 
 
 def topic_nmf(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest terms of five topics."""
-    matrix, _ = _matrix(spark, d)
-    _, h = to.nmf(matrix, 5, 4)
-    return to.topic_terms(h, 5)
+    """Twenty topics: their strongest terms, and the docs ranked by them."""
+    return to.topics(_matrix(spark, d))
+
+
+def topic_nmf_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a penalty that leaves docs few topics."""
+    return to.topics(_matrix(spark, d), sparsity=0.2)
+
+
+def topic_nmf_local(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the letters' texts, terms weighed by how they set these apart from the others."""
+    a = Archive(spark, d)
+    letters = a.doc_types.where("doc_type = 'letter'").select("doc_id")
+    counts = durable(count_words(a.words.join(letters, "doc_id", "left_semi"), ["doc_id"]))
+    totals = limited_vocabulary(counts.groupBy("token").agg(F.sum("n").alias("n")), 5000, 10)
+    scores = compare(totals, count_words(a.words.join(letters, "doc_id", "left_anti"), []))
+    return to.topics(to.local_idf(counts, "doc_id", scores))
 
 
 def topic_lda(spark: SparkSession, d: str) -> DataFrame:
     a = Archive(spark, d)
-    vocabulary = limited_vocabulary(count_words(a.words, []), 500, 5)
-    return to.lda(a.words, [r[0] for r in vocabulary.select("token").orderBy("token").collect()], 5, 5)
+    vocabulary = limited_vocabulary(count_words(a.words, []), 5000, 10)
+    return to.lda(a.words, [r[0] for r in vocabulary.select("token").orderBy("token").collect()])
 
 
 QUERIES = {f.__name__: f for f in (
     person_names, network_top_nodes, network_edges, network_of_person, network_nodes, network_edge_weights, network_strongest_edges, network_mentions,
     network_node_share, edge_term_years, network_selection, network_years, network_vocabulary, node_distinctive_terms, network_json,
-    lexicon_scores, lexicon_top5, weighted_prices, pages_as_of, interpolated_series, next_words, place_mentions, zone_series, topic_nmf, topic_lda,
+    lexicon_scores, lexicon_top5, weighted_prices, pages_as_of, interpolated_series, next_words, place_mentions, zone_series, topic_nmf, topic_nmf_sparse, topic_nmf_local, topic_lda,
 )}
 
 _S = quoted(STOP_WORDS)
