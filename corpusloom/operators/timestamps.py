@@ -7,8 +7,9 @@ times of the same rows and choosing the offset history (time zone) with the fewe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import durable
 
@@ -120,20 +121,60 @@ def epoch_seconds(count: Column, year: Column, zone: Column) -> Column:
     return F.get(fits, F.lit(0))
 
 
-def estimate_zones(df: DataFrame, key: str, local: str, instant: str, span: str, zones: list[str]) -> DataFrame:
+def known_zones(spark: SparkSession, first: list[str] = ()) -> list[str]:
+    """Every region of the time zone database, those of ``first`` in front, then by name."""
+    names = {str(z) for z in spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()}
+    regions = sorted(z for z in names if "/" in z and not z.startswith(("Etc/", "SystemV/")))
+    return list(dict.fromkeys([*first, "UTC", *regions]))
+
+
+def _month(local: Column) -> Column:
+    return F.year(local) * 12 + F.month(local) - 1
+
+
+def shortlisted_zones(df: DataFrame, key: str, local: str, instant: str, span: str, zones: list[str], most: int = 12) -> DataFrame:
+    """(key, zones): the ``most`` zones whose offsets, taken month by month, leave the fewest rows outside of [local, local + span).
+
+    Every row counts. Rows are summed by month and the offset that they ask for before they meet the zones, so what meets them
+    doesn't grow with the rows beyond that; zones of one history are one candidate, the first named.
+    """
+    spark = df.sparkSession
+    low = seconds_ntz(F.col(local)) - F.col(instant)
+    size = F.greatest(F.lit(900), F.floor(F.col(span) / 24)).cast("bigint")  # a row of a wide span says little, so it is summed coarsely
+    asked = df.select(key, _month(F.col(local)).alias("_m"), F.when(F.col(span) <= 60, low).otherwise(F.floor(low / size) * size).cast("bigint").alias("_low"), F.col(span).alias("_span"))
+    asked = durable(asked.groupBy(key, "_m", "_low", "_span").agg(F.count("*").alias("_n")))
+    months = asked.select("_m").distinct()
+    middle = F.try_make_timestamp_ntz(F.call_function("div", F.col("_m"), F.lit(12)).cast("int"), (F.col("_m") % 12 + 1).cast("int"), F.lit(15), F.lit(12), F.lit(0), F.lit(0).cast("decimal(16,6)"))
+    named = spark.createDataFrame(list(enumerate(zones)), "_at int, zone string")
+    history = months.withColumn("_mid", middle).join(F.broadcast(named)).select("_m", "_at", "zone", (seconds_ntz(F.col("_mid")) - local_to_utc(F.col("_mid"), F.col("zone"))).alias("_off"))
+    history = durable(history)
+    same = history.groupBy("_at", "zone").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("_m", "_off"))))).alias("_h"))
+    one = same.groupBy("_h").agg(F.min("_at").alias("_at"))
+    kept = history.join(F.broadcast(one.select("_at")), "_at", "left_semi").groupBy("_m").agg(F.collect_list(F.struct("_at", "zone", "_off")).alias("_z"))
+    met = asked.join(F.broadcast(kept), "_m").select(key, "_low", "_span", "_n", F.explode("_z").alias("z"))
+    step = F.when(F.col("_span") <= 60, 0).otherwise(F.greatest(F.lit(900), F.floor(F.col("_span") / 24)) - 1)
+    outside = (F.col("z._off") < F.col("_low")) | (F.col("z._off") >= F.col("_low") + F.col("_span") + step)
+    sums = met.groupBy(key, F.col("z._at").alias("_at"), F.col("z.zone").alias("zone")).agg(F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("_v"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_v", "_at"))
+    best = sums.withColumn("_r", rank).where(F.col("_r") <= most)
+    return best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), "zone"))).alias("zones"))
+
+
+def estimate_zones(df: DataFrame, key: str, local: str, instant: str, span: str, zones: list[str], most: int = 12) -> DataFrame:
     """(key, zone, rows, violations): for each key the zone of ``zones`` under which the fewest rows have their ingestion
     instant outside [local, local + span). Ties go to the zone named first; rows with a null in any column don't count.
 
-    Each row meets each candidate once, inside the JVM, and is summed by (key, zone) before the shuffle.
+    More zones than ``most`` are first narrowed to so many by ``shortlisted_zones``. Each row then meets each candidate once, inside
+    the JVM, and is summed by (key, zone) before the shuffle.
     """
-    tries = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(z).alias("zone")) for i, z in enumerate(zones)]))
+    rows = df.select(key, local, instant, span).dropna()
+    if len(zones) > most:
+        rows = rows.join(F.broadcast(shortlisted_zones(rows, key, local, instant, span, zones, most)), key).withColumn("c", F.explode("zones"))
+    else:
+        rows = rows.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(z).alias("zone")) for i, z in enumerate(zones)])))
     at = local_to_utc(F.col(local), F.col("c.zone"))
     outside = ~((F.col(instant) >= at) & (F.col(instant) < at + F.col(span)))
-    counted = (
-        df.select(key, local, instant, span).dropna().withColumn("c", tries)
-        .groupBy(key, F.col("c.at").alias("at"), F.col("c.zone").alias("zone"))
-        .agg(F.count("*").alias("rows"), F.sum(outside.cast("bigint")).alias("violations"))
-    )
+    counted = rows.groupBy(key, F.col("c.at").alias("at"), F.col("c.zone").alias("zone")).agg(F.count("*").alias("rows"), F.sum(outside.cast("bigint")).alias("violations"))
     best = F.min(F.struct("violations", "at", "zone", "rows")).alias("b")
     return counted.groupBy(key).agg(best).select(key, F.col("b.zone").alias("zone"), F.col("b.rows").alias("rows"), F.col("b.violations").alias("violations"))
 
@@ -141,7 +182,7 @@ def estimate_zones(df: DataFrame, key: str, local: str, instant: str, span: str,
 def normalise_times(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, field, utc_s) of every real date stated in ``docs.date_orig`` and ``docs.timestamp``.
 
-    ``sources`` has collection_id, home_zone (may be null: then it is estimated) and day_order. Rows of docs that are equal
+    ``sources`` has collection_id, home_zone (may be null: then it is estimated among all zones of the time zone database) and day_order. Rows of docs that are equal
     in these columns count once; null, blank and unreal values give no row; a doc of an unknown collection is read as UTC,
     month first. Other columns are ignored.
     """
@@ -151,12 +192,17 @@ def normalise_times(docs: DataFrame, sources: DataFrame) -> DataFrame:
     parsed = parse_stated(known, "date_orig", F.coalesce("_dmy", F.lit(False)), F.col("year"))
     # read twice below; materialised, each text is parsed once and its expressions aren't copied into every later predicate
     stated = durable(parsed.select("id", "timestamp", "year", "collection_id", "_home", "local", "offset", "instant", "span"))
-    zones = [r[0] for r in sources.select("home_zone").where("home_zone is not null").distinct().orderBy("home_zone").limit(600).collect()] or ["UTC"]
-    exact = stated.where("local is not null and offset is null and timestamp is not null").select(
-        "id", "collection_id", "local", epoch_seconds(F.col("timestamp"), F.col("year"), F.lit("UTC")).alias("instant"), "span"
-    )
-    guessed = estimate_zones(exact.distinct(), "collection_id", "local", "instant", "span", zones).select("collection_id", F.col("zone").alias("_guess"))
-    zoned = stated.join(guessed, "collection_id", "left").withColumn("zone", F.coalesce("_home", "_guess", F.lit("UTC")))
+    stated_zones = [r[0] for r in sources.select("home_zone").where("home_zone is not null").groupBy("home_zone").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "home_zone").collect()]
+    unknown = sources.where("home_zone is null").select("collection_id")
+    zoned = stated.withColumn("_guess", F.lit(None).cast("string"))
+    if not unknown.isEmpty():  # the rows of a source that states its zone need no estimate
+        exact = stated.join(F.broadcast(unknown), "collection_id", "left_semi").where("local is not null and offset is null and timestamp is not null").select(
+            "id", "collection_id", "local", epoch_seconds(F.col("timestamp"), F.col("year"), F.lit("UTC")).alias("instant"), "span"
+        )
+        zones = known_zones(docs.sparkSession, stated_zones)
+        guessed = estimate_zones(exact.distinct(), "collection_id", "local", "instant", "span", zones).select("collection_id", F.col("zone").alias("_guess"))
+        zoned = stated.join(F.broadcast(guessed), "collection_id", "left")
+    zoned = zoned.withColumn("zone", F.coalesce("_home", "_guess", F.lit("UTC")))
     from_text = F.coalesce(
         F.col("instant"),
         F.when(F.col("offset").isNotNull(), seconds_ntz(F.col("local")) - F.col("offset") * 60),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed_values import unpack_values
-from ..operators.timestamps import epoch_seconds, estimate_zones, normalise_times, parse_stated
-from ..session import table
+from ..operators.timestamps import epoch_seconds, estimate_zones, known_zones, normalise_times, parse_stated
+from ..session import durable, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +19,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zone of each collection as estimated without looking at its home_zone."""
+    """The zone of each collection as estimated among all zones of the time zone database, without looking at its home_zone; the names in
+    use only decide which of several zones of one history is named."""
     places = table(spark, sf_dir, "collections")
     docs = table(spark, sf_dir, "docs").join(F.broadcast(places.select("collection_id", "day_order")), "collection_id").distinct()
     stated = parse_stated(docs, "date_orig", F.col("day_order") == "dmy", F.col("year")).where("local is not null and offset is null and timestamp is not null")
     rows = stated.withColumn("instant", epoch_seconds(F.col("timestamp"), F.col("year"), F.lit("UTC")))
-    zones = [r[0] for r in places.select("home_zone").distinct().orderBy("home_zone").collect()]
-    return estimate_zones(rows, "collection_id", "local", "instant", "span", zones)
+    used = [r[0] for r in places.select("home_zone").distinct().orderBy("home_zone").collect()]
+    return estimate_zones(durable(rows.select("collection_id", "local", "instant", "span")), "collection_id", "local", "instant", "span", known_zones(spark, used))
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_zones": p4_zones}

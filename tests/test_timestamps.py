@@ -134,3 +134,16 @@ def test_against_a_plain_reading(spark, data):
     docs, collections = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("docs", "collections"))
     got = {r["id"]: r["utc_s"] for r in normalise_times(docs, collections).where("field = 'date_orig'").collect()}
     assert {i: got.get(i) for i in want} == want
+
+
+def test_zones_are_found_without_being_stated(spark):
+    """With every home zone hidden, the zones come from the whole database and the times agree with those of the stated zones."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs, places = spark.read.parquet(f"{folder}/docs.parquet"), spark.read.parquet(f"{folder}/collections.parquet")
+    want = {tuple(r) for r in normalise_times(docs, places).collect()}
+    got = {tuple(r) for r in normalise_times(docs, places.withColumn("home_zone", F.lit(None).cast("string"))).collect()}
+    assert len(got & want) >= 0.97 * len(want)
+    some = places.withColumn("home_zone", F.when(F.col("collection_id") % 2 == 0, F.col("home_zone")))
+    assert len({tuple(r) for r in normalise_times(docs, some).collect()} & want) >= 0.97 * len(want)
