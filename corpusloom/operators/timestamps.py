@@ -145,8 +145,9 @@ def shortlisted_zones(df: DataFrame, key: str, local: str, instant: str, span: s
     asked = durable(asked.groupBy(key, "_m", "_low", "_span").agg(F.count("*").alias("_n")))
     months = asked.select("_m").distinct()
     middle = F.try_make_timestamp_ntz(F.call_function("div", F.col("_m"), F.lit(12)).cast("int"), (F.col("_m") % 12 + 1).cast("int"), F.lit(15), F.lit(12), F.lit(0), F.lit(0).cast("decimal(16,6)"))
-    named = spark.createDataFrame(list(enumerate(zones)), "_at int, zone string")
-    history = months.withColumn("_mid", middle).join(F.broadcast(named)).select("_m", "_at", "zone", (seconds_ntz(F.col("_mid")) - local_to_utc(F.col("_mid"), F.col("zone"))).alias("_off"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = spark.createDataFrame(list(enumerate(zones)), "_at int, zone string").repartition(parts, "zone")
+    history = named.join(F.broadcast(months.withColumn("_mid", middle))).select("_m", "_at", "zone", (seconds_ntz(F.col("_mid")) - local_to_utc(F.col("_mid"), F.col("zone"))).alias("_off"))
     history = durable(history)
     same = history.groupBy("_at", "zone").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("_m", "_off"))))).alias("_h"))
     one = same.groupBy("_h").agg(F.min("_at").alias("_at"))

@@ -22,9 +22,10 @@ def p4_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone of each collection as estimated among all zones of the time zone database, without looking at its home_zone; the names in
     use only decide which of several zones of one history is named."""
     places = table(spark, sf_dir, "collections")
-    docs = table(spark, sf_dir, "docs").join(F.broadcast(places.select("collection_id", "day_order")), "collection_id").distinct()
-    stated = parse_stated(docs, "date_orig", F.col("day_order") == "dmy", F.col("year")).where("local is not null and offset is null and timestamp is not null")
-    rows = stated.withColumn("instant", epoch_seconds(F.col("timestamp"), F.col("year"), F.lit("UTC")))
+    docs = table(spark, sf_dir, "docs").select("id", "timestamp", "year", "date_orig", "collection_id").join(F.broadcast(places.select("collection_id", "day_order")), "collection_id").distinct()
+    # materialised, so that the parser's expressions aren't copied into every later predicate
+    parsed = durable(parse_stated(docs, "date_orig", F.col("day_order") == "dmy", F.col("year")).select("collection_id", "local", "offset", "timestamp", "year", "span"))
+    rows = parsed.where("local is not null and offset is null and timestamp is not null").withColumn("instant", epoch_seconds(F.col("timestamp"), F.col("year"), F.lit("UTC")))
     used = [r[0] for r in places.select("home_zone").distinct().orderBy("home_zone").collect()]
     return estimate_zones(durable(rows.select("collection_id", "local", "instant", "span")), "collection_id", "local", "instant", "span", known_zones(spark, used))
 
