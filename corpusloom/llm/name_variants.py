@@ -2,8 +2,9 @@
 
 Each spelling is read into its kind, its metric key (a surname, or an organisation's words with abbreviations written out) and
 its given name. Keys are assigned to the nearest of some pivots; a key near a cell's border also goes to the cells that the
-triangle inequality can't rule out, so every two keys within the radius meet in a cell, and a radius join under Levenshtein's
-metric inside the cells is exact. Given names and initials then decide which of the near spellings are one person.
+triangle inequality can't rule out, so every two keys within the radius meet in a cell. Inside a cell the radius join under
+Levenshtein's metric is an equality join on pieces: of radius + 1 pieces of a key one at least is left whole by so many edits.
+Given names and initials then decide which of the near spellings are one person.
 """
 
 from __future__ import annotations
@@ -105,35 +106,128 @@ def read_name(name: str) -> tuple[str, str, list[str], list[str], str | None]:
     return "person", key, sorted({g[0] for g in given}), given, middle
 
 
-def near_keys(keys: DataFrame, radius: int = 2, pivots: int = 128) -> DataFrame:
+def pieces(size: int, n: int) -> list[tuple[int, int]]:
+    """(start, length) of n even pieces of a word."""
+    cuts = [size * k // n for k in range(n + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def probes(word: str, radius: int) -> Iterator[tuple[int, int, str]]:
+    """(length, piece, text): where a key of this length or up to ``radius`` shorter within the radius of the word must hold one of its
+    pieces. A piece moves no further than the edits before it or behind it allow."""
+    for size in range(max(len(word) - radius, 0), len(word) + 1):
+        shift = len(word) - size
+        for i, (start, length) in enumerate(pieces(size, radius + 1)):
+            low = max(0, start - i, start + shift - (radius - i))
+            high = min(len(word) - length, start + i, start + shift + (radius - i))
+            for at in range(low, high + 1):
+                yield size, i, word[at : at + length]
+
+
+def near_keys(keys: DataFrame, radius: int = 2, pivots: int = 4) -> DataFrame:
     """(kind, key, other, d) for every two keys of a kind within the radius of each other, both ways, and each with itself.
 
-    Pivots are a bounded sample of the keys, taken by hash; which they are changes the work, never the result. Letters held
-    by one key only bound the distance from below and are compared first. A cell that holds many keys is split by
-    Spark's adaptive skew join, as the join is an ordinary equi-join on the cell.
+    Pivots are a bounded sample of the keys, taken by hash; which and how many they are changes the work, never the result. A key
+    gives radius + 1 rows to its own cell and its probes to each of at most ``pivots`` cells, so rows grow in proportion to the keys;
+    no cell compares all its keys with each other, whatever its size.
     """
     distinct = durable(keys.select("kind", "key").distinct())
     chosen = [r[0] for r in distinct.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(pivots).collect()] or [""]
-    letters = [F.when(F.col("key").contains(c), 1 << i).otherwise(0) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz ")]
-    mask = letters[0]
-    for x in letters[1:]:
-        mask = mask + x
-    placed = distinct.withColumn("m", mask).withColumn("ds", F.transform(F.array(*map(F.lit, chosen)), lambda p: F.levenshtein(F.col("key"), p))).withColumn("least", F.array_min("ds"))
-    home = placed.select("kind", "key", "m", (F.array_position("ds", F.col("least")) - 1).cast("int").alias("cell"), F.col("least").alias("far"))
-    spread = placed.select("kind", "key", "m", "least", F.posexplode("ds").alias("cell", "far")).where(F.col("far") <= F.col("least") + 2 * radius)
-    other = spread.select("kind", "cell", F.col("key").alias("other"), F.col("m").alias("m2"), F.col("far").alias("far2"))
-    close = (F.abs(F.col("far") - F.col("far2")) <= radius) & (F.abs(F.length("key") - F.length("other")) <= radius) & (F.bit_count(F.col("m").bitwiseXOR(F.col("m2"))) <= 2 * radius)
-    met = home.join(other, ["kind", "cell"]).where(close).withColumn("d", F.levenshtein("key", "other", radius))
-    return met.where("d >= 0").select("kind", "key", "other", "d").distinct()
-
-
-def entities(names: DataFrame, radius: int = 2) -> DataFrame:
+    placed = distinct.withColumn("ds", F.transform(F.array(*map(F.lit, chosen)), lambda p: F.levenshtein(F.col("key"), p))).withColumn("least", F.array_min("ds"))
+    home = placed.select("kind", "key", (F.array_position("ds", F.col("least")) - 1).cast("int").alias("cell"))
+    near = F.filter(F.transform("ds", lambda d, i: F.when(d <= F.col("least") + 2 * radius, i)), lambda i: i.isNotNull())
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(kind, c, len(k), i, k[x : x + n], k) for kind, k, c in zip(b["kind"], b["key"], b["cell"], strict=True) for i, (x, n) in enumerate(pieces(len(k), radius + 1))]
+            yield pd.DataFrame(rows, columns=["kind", "cell", "size", "i", "piece", "key"])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(kind, c, *p, k) for kind, k, cs in zip(b["kind"], b["key"], b["cells"], strict=True) for p in set(probes(k, radius)) for c in cs]
+            yield pd.DataFrame(rows, columns=["kind", "cell", "size", "i", "piece", "other"])
+
+    index = home.mapInPandas(cut, "kind string, cell int, size int, i int, piece string, key string")
+    asked = placed.select("kind", "key", near.cast("array<int>").alias("cells")).mapInPandas(look, "kind string, cell int, size int, i int, piece string, other string")
+    met = index.join(asked, ["kind", "cell", "size", "i", "piece"]).select("kind", "key", "other").distinct()
+    close = durable(met.withColumn("d", F.levenshtein("key", "other", radius)).where("d >= 0"))
+    back = close.where("key <> other").select("kind", F.col("other").alias("key"), F.col("key").alias("other"), "d")
+    return close.unionByName(back).distinct()
+
+
+def given_parts(given: list[list[str]]) -> list[int]:
+    """The part of each list of given names: lists that share a name, or names one edit apart, are of one person; 0 is the first by
+    order. An empty list (initials only) is of the only part, or of none (-1) where there are several."""
+    lists = sorted({tuple(g) for g in given if len(g)})
+    owner = list(range(len(lists)))
+
+    def top(i: int) -> int:
+        while owner[i] != i:
+            i = owner[i]
+        return i
+
+    for i, x in enumerate(lists):
+        for j in range(i):
+            if any(a == b or min(len(a), len(b)) > 3 and one_edit(a, b) or a.startswith(b) or b.startswith(a) for a in x for b in lists[j]):
+                owner[max(top(i), top(j))] = min(top(i), top(j))
+    roots = sorted({top(i) for i in range(len(lists))})
+    place = {g: roots.index(top(i)) for i, g in enumerate(lists)}
+    return [place[tuple(g)] if len(g) else 0 if len(roots) < 2 else -1 for g in given]
+
+
+def _parted(people: DataFrame) -> DataFrame:
+    """Adds ``part`` to spellings (key, i, middle, given): those of one surname and initials whose given names agree. What is gathered
+    for a group are its different lists of given names."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, i, middle, lists in zip(b["key"], b["i"], b["middle"], b["lists"], strict=True):
+                lists = [list(x) for x in lists]
+                rows += [(key, i, middle, x, part) for x, part in zip(lists, given_parts(lists), strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "i", "middle", "given", "part"])
+
+    lists = people.groupBy("key", "i", "middle").agg(F.sort_array(F.collect_set("given")).alias("lists"))
+    numbered = lists.mapInPandas(number, "key string, i string, middle string, given array<string>, part int")
+    return people.join(numbered, ["key", "i", "middle", "given"])
+
+
+def _heads(groups: DataFrame, ties: DataFrame, times: float) -> DataFrame:
+    """(key, i, middle, part, head) of groups (key, i, middle, part, spellings, n, known): the group that a slip is a slip of, or itself.
+
+    A group is a slip of a near one if that has, with one more than was seen, ``times`` its spellings or ``times`` squared its rows, and
+    their given names don't contradict; of several the strongest. Slips of slips are followed to the end: heads only grow stronger, so no chain closes.
+    """
+    name = F.concat_ws("|", "key", "i", "middle", F.col("part").cast("string"))
+    own = durable(groups.withColumn("g", name))
+    mates = ties.where("d > 0").join(own.select(F.col("key").alias("other"), "i", "middle", F.col("g").alias("to"), F.col("spellings").alias("s2"), F.col("n").alias("n2"), F.col("known").alias("k2")), "other")
+    met = own.join(mates, ["key", "i", "middle"])
+    agree = (F.size("known") == 0) | (F.size("k2") == 0) | F.arrays_overlap("known", "k2")
+    stronger = (F.struct("s2", "n2", "to") > F.struct("spellings", "n", "g")) & ((F.col("s2") + 1 >= F.col("spellings") * times) | (F.col("n2") + 1 >= F.col("n") * times * times))
+    best = met.where(agree & stronger).groupBy("g").agg(F.max(F.struct("s2", "n2", "to")).alias("b")).select("g", F.col("b.to").alias("head"))
+    links = durable(best)
+    while True:
+        onward = links.join(links.select(F.col("g").alias("head"), F.col("head").alias("next")), "head", "left")
+        links = durable(onward.select("g", F.coalesce("next", "head").alias("head"), F.col("next").isNotNull().alias("moved")))
+        moved = not links.where("moved").isEmpty()
+        links = links.drop("moved")
+        if not moved:
+            break
+    return own.join(links, "g", "left").select("key", "i", "middle", "part", F.coalesce("head", "g").alias("head"))
+
+
+def _groups(people: DataFrame) -> DataFrame:
+    return people.groupBy("key", "i", "middle", "part").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("given"))).alias("known"))
+
+
+def entities(names: DataFrame, radius: int = 2, times: float = 2.0) -> DataFrame:
     """(name, entity) of every distinct non-blank spelling in ``names.name``; spellings of one entity have an equal ``entity``.
 
-    Organisations are one if their keys are within the radius (one edit for short keys). Persons are one if their initials
-    agree and their surnames are equal, or one edit apart while one of them has a spelling or two only, as a slip has. A spelling without a middle initial goes to the only such person;
-    the surname's closeness and then the given name decide between several, and where they can't it stays on its own with its
-    likes. Repeated rows count once; null and blank names give no row; other columns aren't read.
+    Organisations are one if their keys are within the radius (one edit for short keys), each linked to the strongest near key and so
+    on to the end. Persons are one if their initials agree, their given names don't contradict, and their surnames are equal or one edit apart with the
+    other ``times`` as strong, as a slip has it. A spelling without a middle initial goes to the only such person;
+    the surname's closeness and then the given name decide between several, and where they can't it stays with its likes: the
+    spellings of its surname and initial, slips included. Repeated rows count once; null and blank names give no row; other columns aren't read.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,33 +242,45 @@ def entities(names: DataFrame, radius: int = 2) -> DataFrame:
     swapped = F.expr("d = 2 and length(key) = length(other) and array_sort(split(key, '')) = array_sort(split(other, ''))")
     typo = durable(near.where((F.col("d") <= 1) & (F.length("key") > 3) | swapped | (F.col("d") == 0) | (F.col("kind") == "organisation") & (F.length("key") > 12)))
 
+    ties = typo.where("kind = 'person'").select("key", "other", "d")
     orgs = parsed.where("kind = 'organisation'")
-    size = orgs.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"))
-    heads = typo.where("kind = 'organisation'").join(size.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.max(F.struct("spellings", "n", "other")).alias("b"))
-    of_orgs = orgs.join(heads, "key").select("name", F.concat(F.lit("o:"), F.col("b.other")).alias("entity"))
+    size = durable(orgs.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")))
+    near_orgs = typo.where("kind = 'organisation'").join(size.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.max(F.struct("spellings", "n", "other")).alias("b"))
+    heads = durable(near_orgs.select("key", F.col("b.other").alias("head")))
+    while True:
+        onward = heads.join(heads.select(F.col("key").alias("head"), F.col("head").alias("next")), "head", "left")
+        heads = durable(onward.select("key", F.coalesce("next", "head").alias("head"), (F.coalesce("next", "head") != F.col("head")).alias("moved")))
+        moved = not heads.where("moved").isEmpty()
+        heads = heads.drop("moved")
+        if not moved:
+            break
+    of_orgs = orgs.join(heads, "key").select("name", F.concat(F.lit("o:"), "head").alias("entity"))
 
     people = parsed.where("kind = 'person'").withColumn("i", F.when(F.size("first") == 1, F.get("first", F.lit(0))))
-    full = people.where("middle is not null and i is not null")
-    sure = durable(full.groupBy("key", "i", "middle").agg(F.count("*").alias("spellings"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("given"))).alias("known")))
-    ties = typo.where("kind = 'person'").select("key", "other", "d")
-    mates = ties.join(sure.withColumnRenamed("key", "other"), "other")
-    own = sure.select("key", "i", "middle", F.col("spellings").alias("own"))
-    head = own.join(mates, ["key", "i", "middle"]).where((F.col("d") == 0) | (F.col("own") < 3)).groupBy("key", "i", "middle").agg(F.max(F.struct("spellings", "n", "other")).alias("b"))
-    person = durable(head.select("key", "i", "middle", F.concat_ws("|", F.lit("p:"), "b.other", "i", "middle").alias("entity")))
-    of_full = full.join(person, ["key", "i", "middle"]).select("name", "entity")
+    full = durable(_parted(people.where("middle is not null and i is not null").select("name", "n", "key", "i", "middle", "given")))
+    sure = durable(_groups(full))
+    person = durable(_heads(sure, ties, times).withColumn("entity", F.concat(F.lit("p:"), "head")))
+    of_full = full.join(person, ["key", "i", "middle", "part"]).select("name", "entity")
 
-    rest = people.where("middle is null or i is null")
+    rest = people.where("middle is null or i is null").select("name", "n", "key", "first", "given", "middle")
     options = rest.select("name", "key", F.explode_outer("first").alias("i"), "given", F.col("middle").alias("mine"))
-    known = sure.join(person, ["key", "i", "middle"]).select(F.col("key").alias("other"), "i", "middle", "known", "entity")
+    known = sure.join(person, ["key", "i", "middle", "part"]).select(F.col("key").alias("other"), "i", "middle", "known", "entity")
     fits = options.join(ties, "key").join(known, ["other", "i"]).where("mine is null or mine = middle")
     rank = F.struct("d", F.when(F.arrays_overlap("given", "known"), 0).when((F.size("given") == 0) | (F.size("known") == 0), 1).otherwise(2).alias("g"))
     ranked = fits.withColumn("r", rank).groupBy("name", "entity").agg(F.min("r").alias("r"))
     best = ranked.groupBy("name").agg(F.min("r").alias("best"))
     only = ranked.join(best, "name").where("r = best").groupBy("name").agg(F.count("*").alias("k"), F.min("entity").alias("entity")).where("k = 1").select("name", "entity")
     only = durable(only)
-    alone = rest.join(only, "name", "left_anti")
-    own = alone.select("name", F.concat_ws("|", F.lit("q:"), "key", F.array_join("first", ""), F.coalesce("middle", F.lit(""))).alias("entity"))
-    return of_orgs.unionByName(of_full).unionByName(only).unionByName(own)
+
+    alone = rest.join(only, "name", "left_anti").withColumn("middle", F.coalesce("middle", F.lit("")))
+    each = durable(_parted(alone.select("name", "n", "key", F.explode_outer("first").alias("i"), "middle", "given").withColumn("i", F.coalesce("i", F.lit("")))))
+    groups = durable(_groups(each))
+    likes = _heads(groups, ties, times)
+    # a short form of several names goes where most spellings of one of them are
+    strength = each.join(groups.select("key", "i", "middle", "part", "spellings", F.col("n").alias("rows")), ["key", "i", "middle", "part"]).join(likes, ["key", "i", "middle", "part"])
+    pick = strength.groupBy("name").agg(F.max(F.struct("spellings", "rows", "head")).alias("b"))
+    of_alone = pick.select("name", F.concat(F.lit("q:"), "b.head").alias("entity"))
+    return of_orgs.unionByName(of_full).unionByName(only).unionByName(of_alone)
 
 
 def variant_pairs(names: DataFrame, radius: int = 2) -> DataFrame:

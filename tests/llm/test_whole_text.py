@@ -2,6 +2,7 @@
 
 from corpusloom.llm.leakage import Passages, leaked_items
 from corpusloom.llm.lookalikes import alike_pairs, repairs
+from corpusloom.llm.name_variants import given_parts, pieces, probes, variant_pairs
 from corpusloom.llm.scan_repair import CONFUSIONS, confused, damaged_lines, repaired_paragraphs, skeleton
 
 SCHEMA = "tid string, page_no int, text string"
@@ -74,3 +75,56 @@ def test_long_streams_go_in_slices():
     text = " ".join(f"w{j}" for j in range(30))
     passages = Passages([(7, text)])
     assert passages.found(["z" * ((1 << 20) - 20) + text + "z" * 1000, None, "", "z" * (1 << 20) + text[:60]]) == [(0, 7)]
+
+
+def links(spark, names):
+    return {tuple(r) for r in variant_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+
+
+def test_slips_in_every_format_are_linked(spark):
+    sound = ["Smith, JR", "J. R. Smith", "SMITH,JR", "Smith-JR", "John R. Smith", "Smith, John R, Jr."]
+    slips = ["Smtih, JR", "J. R. Smtih", "SMTIH,JR"]
+    assert len(links(spark, sound + slips)) == 9 * 8 // 2
+
+
+def test_people_without_a_middle_initial_are_linked(spark):
+    robert = ["Robert Smelting", "Smelting, Robert", "SMELTING, ROBERT", "Robert  Smelting", "Bert Smelting", "Smeltnig, Robert"]
+    got = links(spark, robert)
+    assert got == {(a, b) for a in robert for b in robert if a < b}
+
+
+def test_given_names_that_contradict_part_people(spark):
+    got = links(spark, ["Krurnell, Henry D", "Henry D. Krurnell", "Hank D. Krurnell", "Krurnell, Harold D", "Harold D. Krurnell"])
+    assert ("Henry D. Krurnell", "Krurnell, Henry D") in got
+    assert not any(("Henry" in a + b or "Hank" in a + b) and "Harold" in a + b for a, b in got)
+    assert given_parts([["henry"], ["harold"], ["harold", "henry"], []]) == [0, 0, 0, 0]
+    assert given_parts([["henry"], ["harold"], []]) == [1, 0, -1]
+
+
+def test_slips_of_slips_end_at_one_head(spark):
+    head, slip, far = ["Kestrel Leaf Company", "KESTREL LEAF COMPANY", "Kestrel Leaf Co."], ["Kestrl Leaf Company", "KESTRL LEAF COMPANY"], ["Kest Leaf Company"]
+    names = head + slip + far
+    assert links(spark, names) == {(a, b) for a in names for b in names if a < b}
+
+
+def test_probes_meet_every_near_key():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(3000):
+        a = "".join(draw.choice("abc") for _ in range(draw.randint(0, 9)))
+        b = list(a)
+        for _ in range(draw.randint(0, 2)):
+            k = draw.randint(0, len(b))
+            b[k : k + draw.randint(0, 1)] = [] if draw.random() < 0.3 else [draw.choice("abcd")]
+        b = "".join(b)
+        short, long = sorted((a, b), key=len)
+        edits = [list(range(len(long) + 1))]
+        for i in range(1, len(short) + 1):
+            row = [i]
+            for j in range(1, len(long) + 1):
+                row.append(min(edits[-1][j] + 1, row[-1] + 1, edits[-1][j - 1] + (short[i - 1] != long[j - 1])))
+            edits.append(row)
+        if edits[-1][-1] <= 2:
+            held = {(len(short), i, short[x : x + n]) for i, (x, n) in enumerate(pieces(len(short), 3))}
+            assert held & set(probes(long, 2)), (short, long)
