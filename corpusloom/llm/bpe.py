@@ -6,6 +6,7 @@ row's leftmost pair of minimum rank, merges it, and closes the gap; rows without
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -75,6 +76,10 @@ class PairTable:
         return rank, merged
 
 
+#: Pieces of more bytes than this are merged one by one.
+_LONG = 4096
+
+
 class ByteBPE:
     """A byte-level BPE tokenizer read from a vocabulary file in JSON, with merges in order of rank."""
 
@@ -90,12 +95,16 @@ class ByteBPE:
         self.table = PairTable(left, right, np.array([vocab[a + b] for a, b in pairs], np.int32))
         self.cut = regex.compile(PIECES).findall
         self.known, self.cache = known, {}
+        self._pairs, self._listed = (left, right, np.array([vocab[a + b] for a, b in pairs], np.int64)), None
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece; pieces go into matrices of like length (8, 16, 32, ... columns)."""
         out: list[list[int]] = [[]] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
+            if len(p) > _LONG:
+                out[i] = self._queue(p)
+                continue
             buckets.setdefault(max(8, 1 << (len(p) - 1).bit_length()) if p else 0, []).append(i)
         for width, rows in buckets.items():
             if width:
@@ -104,6 +113,30 @@ class ByteBPE:
                     self._matrix([pieces[i] for i in rows[k : k + step]], rows[k : k + step], width, out)
         return out
 
+    def _queue(self, piece: bytes) -> list[int]:
+        """Ids of a very long piece, merge by merge from a queue of its pairs by rank and place: a matrix takes a round of its whole width
+        for each merge of its longest row, this the logarithm of its length."""
+        if self._listed is None:
+            left, right, new = (x.tolist() for x in self._pairs)
+            self._listed = {(a, b): (k, c) for k, (a, b, c) in enumerate(zip(left, right, new, strict=True))}
+        ids, n = self.first[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(got[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (got := self._listed.get((ids[i], ids[i + 1])))]
+        heapq.heapify(queue)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = self._listed[a, b][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < n and (got := self._listed.get((ids[x], ids[y]))):
+                    heapq.heappush(queue, (got[0], x, ids[x], ids[y]))
+        return [x for x in ids if x >= 0]
+
     def _matrix(self, pieces: list[bytes], rows: list[int], width: int, out: list[list[int]]) -> None:
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
         length = np.array([len(p) for p in pieces])

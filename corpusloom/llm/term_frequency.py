@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -86,6 +86,14 @@ class _Spill:
             yield from finer.sums()
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system named: one without a scheme is the cluster's default one, not a worker's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    name = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    return "file://" + name[5:] if name.startswith("file:/") and not name.startswith("file://") else name
+
+
 def count_terms(tokens: DataFrame, postings: DataFrame, unit: str = "docs", budget_mb: float = 96, partitions: int | None = None) -> DataFrame:
     """(token, ngram, total, records) of every term of ``tokens``.
 
@@ -107,7 +115,7 @@ def count_terms(tokens: DataFrame, postings: DataFrame, unit: str = "docs", budg
     rows = listed.unionByName(met)
     marked = rows.join(F.broadcast(hot), rows["token"].eqNullSafe(F.col("t")) & rows["ngram"].eqNullSafe(F.col("g")), "left").drop("t", "g")
     spread = marked.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("item"), F.lit(parts))).otherwise(0))
-    folder = f"{shared_dir(spark)}/radix-{uuid.uuid4().hex}"
+    folder = _qualified(spark, f"{shared_dir(spark)}/radix-{uuid.uuid4().hex}")
     budget = int(budget_mb * 2**20)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

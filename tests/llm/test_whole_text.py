@@ -1,5 +1,6 @@
 """Cases that text operators left out by counts or tables of their own."""
 
+from corpusloom.llm.bpe import ByteBPE
 from corpusloom.llm.leakage import Passages, leaked_items
 from corpusloom.llm.lookalikes import alike_pairs, repairs
 from corpusloom.llm.name_variants import given_parts, pieces, probes, variant_pairs
@@ -128,3 +129,15 @@ def test_probes_meet_every_near_key():
         if edits[-1][-1] <= 2:
             held = {(len(short), i, short[x : x + n]) for i, (x, n) in enumerate(pieces(len(short), 3))}
             assert held & set(probes(long, 2)), (short, long)
+
+
+def test_very_long_pieces_are_encoded_like_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    draw = random.Random(5)
+    texts = ["ab" * 60_000, "".join(draw.choice("etaoinshrdlu") for _ in range(150_000)), "\u00fc" * 9_000 + " x", "=" * 50_000, "word " + "the" * 4_000 + "!"]
+    library = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    library.encode_special_tokens = True
+    assert ByteBPE("/opt/tokenizers/byte_bpe_50k.json").encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
