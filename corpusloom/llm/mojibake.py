@@ -30,7 +30,7 @@ CHANNELS = [(r, w, n) for w in WRITTEN_IN for r in READ_AS if r != w for n in ((
 
 #: A blank behind one of these can be a no-break blank that was replaced, so the span goes on.
 _LEADS = "ÂÃÅ"
-_SPAN = re.compile(rf"[A-Za-z0-9\x80-\U0010ffff]+(?:(?<=[{_LEADS}]) [A-Za-z0-9\x80-\U0010ffff]+)*")
+_SPAN = re.compile(rf"[A-Za-z0-9\x80-\U0010ffff]+(?:(?<=[{_LEADS}]) [A-Za-z0-9\x80-\U0010ffff]+)*(?:(?<=[{_LEADS}]) (?=[,.;:)]|$))?")
 _WORD = re.compile(r"\w+(?:[’']\w+)*")
 #: Log-odds of the noisy channel: scripts mixed in a word, marks between letters, letter case, bytes that happen to be valid
 #: UTF-8, leaving a state, and characters that archives of letters don't have.
@@ -195,7 +195,7 @@ def fit(span: str) -> float:
                 score += _STRANGE
         elif 0x17F < ord(b) < 0x370 or 0x1D00 <= ord(b) < 0x1E00:
             score += _STRANGE
-        elif a.isupper() and b.islower() and c.isupper() or b.isupper() and a.isalpha() and small:
+        elif b.islower() and c.isupper() and not small or b.isupper() and a.isalpha() and small:
             score += _CASE
     if any(unicodedata.category(c) in ("Cc", "Cn", "Co") for c in span):
         score += _CONTROL
@@ -236,7 +236,7 @@ def decode(value: str, counts: dict[str, int], total: int, found: dict[str, list
                 emit[k] = best if best[0] > unknown else (unknown - 0.5 * (k != _LOSS), None)
         else:
             other = readings(span)
-            clean = likely(span) + (_VALID if any(CHANNELS[k][1] == "utf-8" for k in other) else 0.0)
+            clean = likely(span) + (_VALID if any(CHANNELS[k][1] == "utf-8" and fit(new) > _MIXED for k, new in other.items()) else 0.0)
             emit = {_CLEAN: (clean, span), _LOSS: (clean, span), **{k: (likely(new), new) for k, new in other.items()}}
         top = max(path.values(), key=lambda p: p[0])
         stay = {s: path[s] if s in path and path[s][0] >= top[0] + _SWITCH else (top[0] + _SWITCH, top[1]) for s in emit}

@@ -51,6 +51,12 @@ def test_a_lost_byte_in_a_garbled_span_is_decoded_in_the_search():
     assert decode("CONCEIÇÃO-VAREL, JÂ", {"conceição": 40, "varel": 40, "jâ": 37, "j": 900}, 100_000, {}) == (False, "CONCEIÇÃO-VAREL, JÂ")
 
 
+def test_capitals_that_happen_to_be_valid_bytes_stay():
+    assert decode("VÕŽHAM,UC", {"võžham": 40, "uc": 90}, 1_000_000, {}) == (False, "VÕŽHAM,UC")
+    assert decode("VÃ•Å½HAM,UC", {"võžham": 40, "uc": 90}, 1_000_000, {}) == (True, "VÕŽHAM,UC")
+    assert decode("DÃ´rÃ , WE", {"dôrà": 40}, 1_000_000, {}) == (True, "Dôrà, WE")
+
+
 def test_many_lost_names_of_another_script(spark):
     """Names without an ASCII letter meet by what is left of them, not all each other."""
     names = ["".join(chr(0x430 + (k * 7 + j * (k % 11 + 3)) % 32) for j in range(9)) for k in range(800)]
