@@ -184,12 +184,12 @@ def topic_nmf_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_nmf_local(spark: SparkSession, d: str) -> DataFrame:
-    """The same over the letters' texts, terms weighed by how they set these apart from the others."""
+    """The same over the texts since 1950, terms weighed by how they set these apart from the earlier ones."""
     a = Archive(spark, d)
-    letters = a.doc_types.where("doc_type = 'letter'").select("doc_id")
-    counts = durable(count_words(a.words.join(letters, "doc_id", "left_semi"), ["doc_id"]))
+    late = a.doc_years.where("year >= 1950").select(F.col("unit_id").alias("doc_id"))
+    counts = durable(count_words(a.words.join(late, "doc_id", "left_semi"), ["doc_id"]))
     totals = limited_vocabulary(counts.groupBy("token").agg(F.sum("n").alias("n")), 5000, 10)
-    scores = compare(totals, count_words(a.words.join(letters, "doc_id", "left_anti"), []))
+    scores = compare(totals, count_words(a.words.join(late, "doc_id", "left_anti"), []))
     return to.topics(to.local_idf(counts, "doc_id", scores))
 
 
