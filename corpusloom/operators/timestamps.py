@@ -7,9 +7,14 @@ times of the same rows and choosing the offset history (time zone) with the fewe
 
 from __future__ import annotations
 
+import calendar
+import re
+import time
+from bisect import bisect_left, bisect_right
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import durable
 
@@ -128,56 +133,138 @@ def known_zones(spark: SparkSession, first: list[str] = ()) -> list[str]:
     return list(dict.fromkeys([*first, "UTC", *regions]))
 
 
-def _month(local: Column) -> Column:
-    return F.year(local) * 12 + F.month(local) - 1
+_SWITCH = re.compile(r"at ([\d-]+T[\d:]+)(Z|[+-][\d:]+) to (Z|[+-][\d:]+)\]")
+
 
+def _offset(text: str) -> int:
+    hours, minutes, seconds = (0, 0, 0) if text == "Z" else map(int, f"{text[1:]}:0".split(":")[:3])
+    return (-1 if text[0] == "-" else 1) * (hours * 3600 + minutes * 60 + seconds)
 
-def shortlisted_zones(df: DataFrame, key: str, local: str, instant: str, span: str, zones: list[str], most: int = 12) -> DataFrame:
-    """(key, zones): the ``most`` zones whose offsets, taken month by month, leave the fewest rows outside of [local, local + span).
 
-    Every row counts. Rows are summed by month and the offset that they ask for before they meet the zones, so what meets them
-    doesn't grow with the rows beyond that; zones of one history are one candidate, the first named.
+def _switches(text: str) -> list[tuple[int, int, int]]:
+    """(first local second under the new offset, offset before, offset after) of the java.time transitions printed in ``text``.
+
+    A skipped time counts by the offset before the gap, an hour that occurs twice by the first, as in ``local_to_utc``.
     """
-    spark = df.sparkSession
-    low = seconds_ntz(F.col(local)) - F.col(instant)
-    size = F.greatest(F.lit(900), F.floor(F.col(span) / 24)).cast("bigint")  # a row of a wide span says little, so it is summed coarsely
-    asked = df.select(key, _month(F.col(local)).alias("_m"), F.when(F.col(span) <= 60, low).otherwise(F.floor(low / size) * size).cast("bigint").alias("_low"), F.col(span).alias("_span"))
-    asked = durable(asked.groupBy(key, "_m", "_low", "_span").agg(F.count("*").alias("_n")))
-    months = asked.select("_m").distinct()
-    middle = F.try_make_timestamp_ntz(F.call_function("div", F.col("_m"), F.lit(12)).cast("int"), (F.col("_m") % 12 + 1).cast("int"), F.lit(15), F.lit(12), F.lit(0), F.lit(0).cast("decimal(16,6)"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = spark.createDataFrame(list(enumerate(zones)), "_at int, zone string").repartition(parts, "zone")
-    history = named.join(F.broadcast(months.withColumn("_mid", middle))).select("_m", "_at", "zone", (seconds_ntz(F.col("_mid")) - local_to_utc(F.col("_mid"), F.col("zone"))).alias("_off"))
-    history = durable(history)
-    same = history.groupBy("_at", "zone").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("_m", "_off"))))).alias("_h"))
-    one = same.groupBy("_h").agg(F.min("_at").alias("_at"))
-    kept = history.join(F.broadcast(one.select("_at")), "_at", "left_semi").groupBy("_m").agg(F.collect_list(F.struct("_at", "zone", "_off")).alias("_z"))
-    met = asked.join(F.broadcast(kept), "_m").select(key, "_low", "_span", "_n", F.explode("_z").alias("z"))
-    step = F.when(F.col("_span") <= 60, 0).otherwise(F.greatest(F.lit(900), F.floor(F.col("_span") / 24)) - 1)
-    outside = (F.col("z._off") < F.col("_low")) | (F.col("z._off") >= F.col("_low") + F.col("_span") + step)
-    sums = met.groupBy(key, F.col("z._at").alias("_at"), F.col("z.zone").alias("zone")).agg(F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("_v"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("_v", "_at"))
-    best = sums.withColumn("_r", rank).where(F.col("_r") <= most)
-    return best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), "zone"))).alias("zones"))
-
-
-def estimate_zones(df: DataFrame, key: str, local: str, instant: str, span: str, zones: list[str], most: int = 12) -> DataFrame:
+    found = [(calendar.timegm(datetime.fromisoformat(at).timetuple()), _offset(a), _offset(b)) for at, a, b in _SWITCH.findall(text)]
+    return [(at + max(0, b - a), a, b) for at, a, b in found]
+
+
+class _History:
+    """The offsets of a zone by local time: those that the time zone database lists, then those of its yearly rules."""
+
+    def __init__(self, at: int, zone: str, listed: str, rules, fixed: int):
+        self.at, self.zone, self.rules, self.years = at, zone, rules, {}
+        switches = _switches(listed)
+        self.last = time.gmtime(switches[-1][0]).tm_year if switches else None
+        if rules:  # they may go on within the last listed year
+            switches += [s for s in self._by_rule(self.last) if s[0] > switches[-1][0]]
+        self.starts, self.offsets = [s[0] for s in switches], [switches[0][1] if switches else fixed, *(s[2] for s in switches)]
+
+    def _by_rule(self, year: int) -> list[tuple[int, int, int]]:
+        """Years of one calendar have one set of dates, so at most 14 are asked of the JVM."""
+        calendars = (calendar.isleap(year), calendar.weekday(year, 1, 1))
+        like = next(y for y in range(2000, 2028) if (calendar.isleap(y), calendar.weekday(y, 1, 1)) == calendars)
+        if like not in self.years:
+            self.years[like] = _switches("".join(r.createTransition(like).toString() for r in self.rules))
+        moved = calendar.timegm((year, 1, 1, 0, 0, 0)) - calendar.timegm((like, 1, 1, 0, 0, 0))
+        return [(s + moved, a, b) for s, a, b in self.years[like]]
+
+    def within(self, year: int, start: int, end: int) -> tuple[tuple[int, int], ...]:
+        """(from, offset) of the stretches of [start, end), which lies in ``year``."""
+        starts, offsets = self.starts, self.offsets
+        if self.rules and year > self.last:
+            ruled = self._by_rule(year)
+            starts, offsets = [s[0] for s in ruled], [ruled[0][1], *(s[2] for s in ruled)]
+        a, b = bisect_right(starts, start), bisect_left(starts, end)
+        return ((start, offsets[a]), *((starts[k], offsets[k + 1]) for k in range(a, b)))
+
+
+def zone_histories(spark: SparkSession, zones: list[str]) -> list[_History]:
+    """The distinct offset histories of ``zones`` in the JVM's time zone database, each under the zone first named with it."""
+    read, now = spark._jvm.org.apache.spark.sql.catalyst.util.DateTimeUtils.getZoneId, spark._jvm.java.time.Instant.EPOCH
+    found, same = {}, {}
+    for at, zone in enumerate(zones):
+        java = read(zone).getRules()
+        listed, rules = java.getTransitions().toString(), java.getTransitionRules()
+        ruled = rules.toString()
+        fixed = 0 if listed != "[]" else _offset(java.getOffset(now).toString())
+        if (listed, ruled, fixed) not in found:
+            history = found[listed, ruled, fixed] = _History(at, zone, listed, list(rules) if ruled != "[]" else [], fixed)
+            history.years = same.setdefault(ruled, history.years)
+    return list(found.values())
+
+
+def _month_start(month: int) -> int:
+    return calendar.timegm((month // 12, month % 12 + 1, 1, 0, 0, 0))
+
+
+def _month_tables(histories: list[_History], months: list[int]) -> tuple[list[tuple], list[tuple]]:
+    """Of each month (years * 12 + months) the histories by what they are within it.
+
+    First (month, points, offsets, kinds): the local seconds at which any history switches, every offset in use in ascending order,
+    and for each kind of history the index of its offset before the first point and from each point on. Then (month, kind, its histories).
+    """
+    layouts, members = [], []
+    for m in months:
+        start, end = _month_start(m), _month_start(m + 1)
+        kinds: dict[tuple, list[int]] = {}
+        for h in histories:
+            kinds.setdefault(h.within(m // 12, start, end), []).append(h.at)
+        points = sorted({s for kind in kinds for s, _ in kind[1:]})
+        offsets = sorted({o for kind in kinds for _, o in kind})
+        index = {o: i for i, o in enumerate(offsets)}
+        layouts.append((m, points, offsets, [[index[next(o for s, o in reversed(kind) if s <= p)] for p in (start, *points)] for kind in kinds]))
+        members += [(m, k, ats) for k, ats in enumerate(kinds.values())]
+    return layouts, members
+
+
+def _below(array: str, bound: Column) -> Column:
+    return F.size(F.filter(array, lambda x: x < bound))
+
+
+def estimate_zones(df: DataFrame, key: str, local: str, instant: str, span: str, zones: list[str]) -> DataFrame:
     """(key, zone, rows, violations): for each key the zone of ``zones`` under which the fewest rows have their ingestion
     instant outside [local, local + span). Ties go to the zone named first; rows with a null in any column don't count.
 
-    More zones than ``most`` are first narrowed to so many by ``shortlisted_zones``. Each row then meets each candidate once, inside
-    the JVM, and is summed by (key, zone) before the shuffle.
+    Every row counts against every zone, exactly. A row asks for an offset in [low, low + span), so it is told by its key, by the stretch
+    of local time in which no zone switches, and by the first and last of that month's offsets that it allows. Rows are
+    summed by these before they meet the histories, so what meets them is bounded by keys, stretches and offsets.
     """
+    spark = df.sparkSession
+    histories = zone_histories(spark, zones)
+    listed = [s for h in histories for s in (h.starts[:1] + h.starts[-1:])] or [0]
+    first, last = (time.gmtime(f(listed)) for f in (min, max))
     rows = df.select(key, local, instant, span).dropna()
-    if len(zones) > most:
-        rows = rows.join(F.broadcast(shortlisted_zones(rows, key, local, instant, span, zones, most)), key).withColumn("c", F.explode("zones"))
-    else:
-        rows = rows.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(z).alias("zone")) for i, z in enumerate(zones)])))
-    at = local_to_utc(F.col(local), F.col("c.zone"))
-    outside = ~((F.col(instant) >= at) & (F.col(instant) < at + F.col(span)))
-    counted = rows.groupBy(key, F.col("c.at").alias("at"), F.col("c.zone").alias("zone")).agg(F.count("*").alias("rows"), F.sum(outside.cast("bigint")).alias("violations"))
-    best = F.min(F.struct("violations", "at", "zone", "rows")).alias("b")
-    return counted.groupBy(key).agg(best).select(key, F.col("b.zone").alias("zone"), F.col("b.rows").alias("rows"), F.col("b.violations").alias("violations"))
+    # nothing switches before the first month; after the last listed year the calendar and with it the rules repeat every 400 years
+    cycles = F.greatest(F.lit(0), F.floor((F.year(local) - (last.tm_year + 1)) / 400)).cast("bigint")
+    month = F.greatest((F.year(local) - cycles * 400) * 12 + F.month(local) - 1, F.lit(first.tm_year * 12 + first.tm_mon - 2)).cast("int")
+    second = seconds_ntz(F.col(local))
+    placed = rows.select(key, month.alias("_m"), (second - cycles * (146097 * 86400)).alias("_s"), (second - F.col(instant)).alias("_low"), F.col(span).alias("_span"))
+    months = sorted(r[0] for r in placed.select("_m").distinct().collect())
+    layouts, members = _month_tables(histories, months)
+    layout = spark.createDataFrame(layouts, "_m int, _points array<bigint>, _offsets array<bigint>, _kinds array<array<int>>")
+    member = spark.createDataFrame(members, "_m int, _kind int, _ats array<int>")
+    names = spark.createDataFrame([(h.at, h.zone) for h in histories], "_at int, zone string")
+
+    asked = placed.join(F.broadcast(layout.drop("_kinds")), "_m").select(
+        key, "_m", _below("_points", F.col("_s") + 1).alias("_cell"), _below("_offsets", F.col("_low")).alias("_i"), _below("_offsets", F.col("_low") + F.col("_span")).alias("_j"), F.size("_offsets").alias("_all")
+    )
+    none, every = F.col("_i") >= F.col("_j"), (F.col("_i") == 0) & (F.col("_j") == F.col("_all"))  # such rows tell no zones apart
+    told = [F.when(~none & ~every, F.col(c)).alias(c) for c in ("_m", "_cell", "_i", "_j")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.select(key, *told, (every & ~none).alias("_sure")).groupBy(key, "_m", "_cell", "_i", "_j", "_sure").agg(F.count("*").alias("_n"))
+    asked = durable(asked.repartition(parts, key, "_m"))  # few bytes, but many kinds to meet: spread over all tasks
+    totals = asked.groupBy(key).agg(F.sum("_n").alias("rows"), F.sum(F.when(F.col("_sure"), F.col("_n")).otherwise(0)).alias("_sure"))
+    met = asked.where("_m is not null").join(F.broadcast(layout.select("_m", "_kinds")), "_m").select(key, "_m", "_cell", "_i", "_j", "_n", F.posexplode("_kinds").alias("_kind", "_k"))
+    offset = F.get("_k", F.col("_cell"))
+    kinds = met.where((offset >= F.col("_i")) & (offset < F.col("_j"))).groupBy(key, "_m", "_kind").agg(F.sum("_n").alias("_n"))
+    fits = kinds.join(F.broadcast(member), ["_m", "_kind"]).select(key, F.explode("_ats").alias("_at"), "_n").groupBy(key, "_at").agg(F.sum("_n").alias("_n"))
+    # the zone named first stands for those that no such row fits
+    fits = fits.unionByName(totals.select(key, F.lit(0).alias("_at"), F.lit(0).cast("bigint").alias("_n")))
+    best = fits.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_at").alias("at"))).alias("_b"))
+    found = totals.join(best, key).withColumn("_at", F.col("_b.at")).join(F.broadcast(names), "_at")
+    return found.select(key, "zone", "rows", (F.col("rows") - F.col("_sure") + F.col("_b.n")).alias("violations"))
 
 
 def normalise_times(docs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from zoneinfo import ZoneInfo
 import pyarrow.parquet as pq
 import pytest
 
-from corpusloom.operators.timestamps import ZONES, estimate_zones, normalise_times
+from corpusloom.operators.timestamps import ZONES, estimate_zones, known_zones, local_to_utc, normalise_times
 
 SOURCES = [(1, "America/New_York", "mdy"), (2, "Europe/London", "dmy"), (3, "Asia/Kolkata", "dmy"), (4, None, "mdy")]
 DOCS = "id long, tid string, timestamp long, year int, date_orig string, collection_id int"
@@ -147,3 +147,73 @@ def test_zones_are_found_without_being_stated(spark):
     assert len(got & want) >= 0.97 * len(want)
     some = places.withColumn("home_zone", F.when(F.col("collection_id") % 2 == 0, F.col("home_zone")))
     assert len({tuple(r) for r in normalise_times(docs, some).collect()} & want) >= 0.97 * len(want)
+
+
+def each_row_against_each_zone(df, zones):
+    """(k, zone, rows, violations) without any narrowing or summing before the zones are met."""
+    from pyspark.sql import functions as F
+
+    met = df.dropna().withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(z).alias("zone")) for i, z in enumerate(zones)])))
+    at = local_to_utc(F.col("l"), F.col("c.zone"))
+    sums = met.groupBy("k", "c").agg(F.count("*").alias("rows"), F.sum(((F.col("i") < at) | (F.col("i") >= at + F.col("s"))).cast("bigint")).alias("v"))
+    best = sums.groupBy("k").agg(F.min(F.struct("v", "c", "rows")).alias("b")).select("k", "b.c.zone", "b.rows", "b.v")
+    return sorted(tuple(r) for r in best.collect())
+
+
+LOCAL = "k int, l timestamp_ntz, i long, s long"
+
+
+def test_no_zone_is_dropped_by_what_it_is_in_mid_month(spark):
+    """Rows of days on which New York hasn't switched yet, in months in which it has by the 15th: no zone of its offsets in mid-month fits them."""
+    zone, rows = ZoneInfo("America/New_York"), []
+    for month in (3, 11):
+        for k in range(40):
+            at = datetime(2010, month, 2, 12, k, tzinfo=timezone.utc) + timedelta(days=k % 5)
+            rows.append((1, at.astimezone(zone).replace(tzinfo=None), int(at.timestamp()), 60))
+    df, zones = spark.createDataFrame(rows, LOCAL), known_zones(spark)
+    got = [tuple(r) for r in estimate_zones(df, "k", "l", "i", "s", zones).collect()]
+    assert got == each_row_against_each_zone(df, zones)
+    assert got[0][2:] == (80, 0)
+    assert [tuple(r) for r in estimate_zones(df, "k", "l", "i", "s", known_zones(spark, ["America/New_York"])).collect()] == [(1, "America/New_York", 80, 0)]
+
+
+def test_zones_as_by_each_row_against_each_zone(spark):
+    """Noise, gaps, repeated hours, every span, times before any rule and long after the last listed year."""
+    import random
+
+    draw = random.Random(4)
+    names = ["America/New_York", "Europe/Dublin", "Asia/Kolkata", "Australia/Lord_Howe", "Africa/Casablanca", "Pacific/Apia", "America/Sao_Paulo", "Asia/Manila"]
+    rows = []
+    for k, name in enumerate(names):
+        for n in range(120):
+            year = draw.choice([1, 1583, 1840, 1883, 1918, 1943, 1972, 1990, 2011, 2024, 2087, 2100, 2486, 2487, 2488, 2888, 9998])
+            at = datetime(year, draw.randint(1, 12), draw.randint(2, 28), draw.randint(0, 23), draw.randint(0, 59), draw.randint(0, 59), tzinfo=timezone.utc)
+            local, span = at.astimezone(ZoneInfo(name)).replace(tzinfo=None), draw.choice([1, 60, 86400, 31 * 86400, 366 * 86400, 0])
+            local = local.replace(second=0) if span == 60 else local.replace(hour=0, minute=0, second=0) if span > 60 else local
+            shift = timedelta(0) if draw.random() < 0.8 else timedelta(seconds=draw.randint(-(10**5), 10**5))
+            rows.append((k, local, int((at + shift - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()), span))
+        for l in ("1990-04-01 02:30:00.75", "1990-10-28 01:30", "1883-11-18 12:03:57", "1883-11-18 12:03:58", "2011-12-30 10:00", "2100-03-14 02:30", "1990-03-25 01:00:00"):
+            for offset in range(-12, 15):
+                rows.append((k, datetime.fromisoformat(l), int((datetime.fromisoformat(l) - datetime(1970, 1, 1)).total_seconds() // 1) - offset * 3600, 60))
+    rows += [(8, datetime(1980, 5, 5), 0, 60), (9, datetime(1980, 5, 5), utc(1980, 5, 5), 10**7), (9, None, 5, 5), (None, datetime(1980, 5, 5), 5, 5)]
+    df, zones = spark.createDataFrame(rows, LOCAL), known_zones(spark, ["+05:30", "EST5EDT"])
+    want = each_row_against_each_zone(df, zones)
+    assert sorted(tuple(r) for r in estimate_zones(df, "k", "l", "i", "s", zones).collect()) == want
+    assert want[8:] == [(8, "+05:30", 1, 1), (9, "+05:30", 1, 0)]
+
+
+def test_switches_are_where_the_time_zone_database_has_them(spark):
+    """The second before and the second of every listed switch, and the days of rules in some later years, in each zone."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators.timestamps import seconds_ntz, zone_histories
+
+    rows = []
+    for h in zone_histories(spark, known_zones(spark)):
+        assert h.starts == sorted(set(h.starts))
+        rows += [(h.zone, s + d, h.offsets[k + (d >= 0)]) for k, s in enumerate(h.starts) for d in (-1, 0)]
+        for year in (2088, 2096, 2100, 2399, 2487):
+            start = utc(year, 1, 1)
+            rows += [(h.zone, s + d, o) for s, o in h.within(year, start, utc(year + 1, 1, 1)) for d in (0, 3599)]
+    df = spark.createDataFrame(rows, "zone string, at long, want int").withColumn("l", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    assert len(rows) > 30000 and df.where(seconds_ntz(F.col("l")) - local_to_utc(F.col("l"), F.col("zone")) != F.col("want")).limit(3).collect() == []
