@@ -7,13 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..session import drop_durable, durable
 
 
 def _dot(a: str, b: str, k: int):
@@ -145,10 +146,173 @@ def topics(weights: DataFrame, k: int = 20, terms: int = 6, docs: int = 1000, le
     return both.join(F.broadcast(order), F.col("topic") == F.col("_t")).select(F.col("_p").alias("topic"), "kind", "key", "weight", "place")
 
 
-def lda(words: DataFrame, vocabulary: list[str], k: int = 20, steps: int = 100) -> DataFrame:
-    """(topic, token, weight) of LDA's topics over (doc_id, words); the vocabulary is a bounded list."""
-    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
-    fitted = LDA(k=k, maxIter=steps, seed=7, optimizer="em").fit(model.transform(words))
-    terms = fitted.describeTopics(6).select(F.col("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    names = F.array(*map(F.lit, vocabulary))
-    return terms.select("topic", F.get(names, F.col("t.termIndices")).alias("token"), F.round("t.termWeights", 6).alias("weight"))
+#: A block of docs in Arrow. Terms of two docs and more are the columns of a matrix, its cells by column (``at``) with their counts (``n``), a doc's up to its
+#: ``ends``; terms of one doc stand by themselves (``doc``, ``term``, ``m``, by doc). ``w`` has the docs' counts by topic. A row with ``top`` alone has what a task's docs add to the terms.
+_BLOCK = {"terms": np.int32, "ends": np.int32, "at": np.int32, "n": np.float64, "doc": np.int32, "term": np.int32, "m": np.float64, "w": np.float64, "top": np.float64}
+_SCHEMA = ", ".join(f"{c} binary" for c in _BLOCK)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers, none below 0, in as few bytes as hold the largest; the first byte says how many."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _wide(x: pa.Buffer, kind: type) -> np.ndarray:
+    return np.frombuffer(x, f"u{memoryview(x)[0]}", offset=1).astype(kind)
+
+
+def _alike(index: np.ndarray, ends: np.ndarray, terms: int, groups: int = 16, common: int = 256, passes: int = 4) -> np.ndarray:
+    """An order of docs in which those of like words lie together, so that a block has few terms. It tells how fast a block is, not what comes out."""
+    docs = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    often = np.argsort(-np.bincount(index, minlength=terms), kind="stable")[:common]
+    place = np.full(terms, -1)
+    place[often] = np.arange(len(often))
+    has = place[index] >= 0
+    x = np.zeros((len(ends), len(often)), np.float32)
+    x[docs[has], place[index[has]]] = 1
+    x /= np.sqrt(x.sum(1, keepdims=True)) + 1e-9
+    centre = x[np.linspace(0, len(ends) - 1, groups).astype(int)]
+    for _ in range(passes):
+        near = (x @ centre.T).argmax(1)
+        sums = np.eye(groups, dtype=np.float32)[near].T @ x
+        centre = sums / (np.sqrt((sums * sums).sum(1, keepdims=True)) + 1e-9)
+    return np.argsort((x @ centre.T).argmax(1), kind="stable")
+
+
+def _block(index: np.ndarray, value: np.ndarray, ends: np.ndarray, w: np.ndarray, terms: int) -> dict[str, bytes]:
+    docs = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    often = np.bincount(index, minlength=terms)
+    columns = np.flatnonzero(often > 1)
+    place = np.full(terms, -1)
+    place[columns] = np.arange(len(columns))
+    many = often[index] > 1
+    whole = {"terms": columns, "ends": np.cumsum(np.bincount(docs[many], minlength=len(ends))), "doc": docs[~many], "term": index[~many], "w": w}
+    return {c: x.astype(_BLOCK[c]).tobytes() for c, x in whole.items()} | {"at": _narrow(place[index[many]]), "n": _narrow(value[many]), "m": _narrow(value[~many])}
+
+
+def _em_step(b: dict[str, pa.Buffer], a: np.ndarray, top: np.ndarray, alpha: float) -> np.ndarray:
+    """The docs' new counts by topic for the terms' factors ``a``. What the terms get, but for their own factor, is added to ``top``."""
+    terms, ends, doc, term, w = (np.frombuffer(b[c], _BLOCK[c]) for c in ("terms", "ends", "doc", "term", "w"))
+    w = w.reshape(-1, a.shape[1]) + alpha
+    near = a[terms]
+    share = w @ near.T
+    flat = share.reshape(-1)
+    at = _wide(b["at"], np.intp)
+    at += np.repeat(np.arange(len(w)) * len(terms), np.diff(ends, prepend=0))
+    each = _wide(b["n"], np.float64) / flat.take(at)
+    flat[:] = 0
+    flat[at] = each
+    new = share @ near
+    top[terms] += share.T @ w
+    if len(doc):
+        of, by = a[term], w[doc]
+        each = (_wide(b["m"], np.float64) / np.einsum("ij,ij->i", of, by))[:, None]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        new[doc[first]] += np.add.reduceat(of * each, first, axis=0)
+        top[term] += by * each  # no term twice
+    return w * new
+
+
+def _batch(rows: list[dict[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], pa.binary()) for c in _BLOCK], names=list(_BLOCK))
+
+
+def _summed(tops: DataFrame, partitions: int, at_once: int = 64) -> np.ndarray:
+    """The sum of all tasks' ``top``. Of many tasks they are first summed up by groups, so that the driver gets ``at_once`` of them at most."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(x.as_buffer()) for b in batches for x in b.column(0)]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(own, axis=0).tobytes()], pa.binary())], names=["top"])
+
+    rows = tops if partitions <= at_once else tops.repartition(min(at_once, int(partitions**0.5))).mapInArrow(sums, "top binary")
+    return np.sum([np.frombuffer(r[0]) for r in rows.collect()], axis=0)
+
+
+def lda(words: DataFrame, vocabulary: list[str], k: int = 20, steps: int = 100, seed: int = 7, docs: int = 128, cells: int = 1 << 16, partition_bytes: int = 128 << 20, keep: int = 10) -> DataFrame:
+    """(topic, token, weight) of LDA's topics over (doc_id, words), the six strongest terms of each; the vocabulary is a bounded list.
+
+    All ``steps`` of the EM that ``pyspark.ml.clustering.LDA`` runs as messages over a graph, with its priors: every count of a term in a doc
+    is shared out by the product of the doc's and the term's smoothed counts by topic, and these are summed anew. Here docs are packed into
+    blocks of ``docs`` docs or ``cells`` cells, so a step is three matrix products a block; the terms' counts, which are small, go out with each step
+    and come back summed by task. The docs' counts stay with their blocks, which are cached and every ``keep`` steps checkpointed. The start is a
+    hash of the doc, so a run repeats however the rows are spread. Without a word of the vocabulary there are no topics.
+    """
+    spark, n = words.sparkSession, len(vocabulary)
+    alpha, eta = 50.0 / k, 0.1
+    empty = spark.createDataFrame([], "topic int, token string, weight double")
+    if not vocabulary:
+        return empty
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features").transform(words)
+    counted = counted.select(F.xxhash64("doc_id", F.lit(seed)).alias("start"), F.unwrap_udt("features").alias("f")).select("start", "f.indices", "f.values").where(F.size("indices") > 0)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.zeros((n, k))
+        for b in batches:
+            starts, index, value = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            ends = np.cumsum(b.column(1).value_lengths().to_numpy())
+            own: list[int] = []
+            held = 0
+            order = _alike(index, ends, n) if len(ends) else []
+            for place, i in enumerate(order, 1):
+                own.append(i)
+                held += ends[i] - (ends[i - 1] if i else 0)
+                if len(own) < docs and held < cells and place < len(order):
+                    continue
+                at = [slice(ends[j - 1] if j else 0, ends[j]) for j in own]
+                w = np.empty((len(own), k))
+                for j, s in enumerate(at):
+                    given = np.random.default_rng(int(starts[own[j]]) % (1 << 64)).random((s.stop - s.start, k))
+                    given *= (value[s] / given.sum(1))[:, None]
+                    w[j] = given.sum(0)
+                    top[index[s]] += given  # no term twice in a doc
+                yield _batch([_block(np.concatenate([index[s] for s in at]), np.concatenate([value[s] for s in at]), np.cumsum([s.stop - s.start for s in at]), w, n)])
+                own, held = [], 0
+        yield _batch([{"top": top.tobytes()}])
+
+    def stepped(sent):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, top = sent.value, np.zeros((n, k))
+            for b in batches:
+                w = [_em_step({c: b.column(c)[i].as_buffer() for c in _BLOCK if c != "top"}, a, top, alpha).tobytes() for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()) if c == "w" else b.column(c) for c in _BLOCK], names=list(_BLOCK))
+            yield _batch([{"top": top.tobytes()}])
+
+        return of
+
+    made = counted.mapInArrow(blocks, _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = _summed(made.where("top is not null").select("top"), made.rdd.getNumPartitions())
+    counts = np.reshape(counts, (-1, k)) if np.size(counts) > 1 else np.zeros((n, k))
+    size = made.select(F.sum(sum(F.length(c) for c in _BLOCK if c != "top"))).first()[0] or 0
+    parts = max(1, min(spark.sparkContext.defaultParallelism, size >> 18), size // partition_bytes)
+    rows = durable(made.where("top is null").repartition(parts))
+    made.unpersist()
+    spark.sparkContext._jvm.System.gc()  # so that the context's cleaner deletes what the shuffle wrote
+    if not counts.any():
+        return empty
+    used: list = []
+    held, last = rows, None
+    for step in range(1, steps + 1):
+        used.append(sent := spark.sparkContext.broadcast((counts + eta) / (counts.sum(0) + n * eta)))
+        now = rows.mapInArrow(stepped(sent), _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = np.reshape(_summed(now.where("top is not null").select("top"), parts), (n, k)) * sent.value
+        if last is not None:
+            last.unpersist()
+        last, rows = now, now.where("top is null")
+        if step % keep == 0 and step < steps:
+            rows = durable(rows)
+            drop_durable(held)
+            last.unpersist()
+            held, last = rows, None
+            for x in used:
+                x.destroy()
+            used = []
+    if last is not None:
+        last.unpersist()
+    drop_durable(held)
+    for x in used:
+        x.destroy()
+    weights = counts / counts.sum(0)
+    best = [np.lexsort((np.arange(n), -weights[:, t]))[:6] for t in range(k)]
+    return spark.createDataFrame([(t, vocabulary[i], round(float(weights[i, t]), 6)) for t in range(k) for i in best[t]], "topic int, token string, weight double")

@@ -52,5 +52,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_durable(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing reads any more, and not only when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import LDA
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from corpusloom.operators import tasks as ta
@@ -93,3 +95,68 @@ def test_topics_of_planted_groups(spark):
 
 def test_brackets_close_by_the_delimiters_asked_for():
     assert split_packed('(x#"a)b"#c)', "#") == split_packed('(x;"a)b";c)', ";")
+
+
+def _plain_lda(words, vocabulary, k, steps):
+    """EM cell by cell over one matrix, from the same start."""
+    rows = [(r["s"], np.array([r["words"].count(t) for t in vocabulary], float)) for r in words.select(F.xxhash64("doc_id", F.lit(7)).alias("s"), "words").collect()]
+    n = np.array([c for _, c in rows if c.any()])
+    given = np.zeros((*n.shape, k))
+    for d, (s, c) in enumerate((s, c) for s, c in rows if c.any()):
+        at = np.flatnonzero(c)
+        g = np.random.default_rng(s % (1 << 64)).random((len(at), k))
+        given[d, at] = g / g.sum(1, keepdims=True) * c[at, None]
+    for _ in range(steps):
+        doc, term = given.sum(1), given.sum(0)
+        given = (doc[:, None] + 50 / k) * (term + 0.1) / (term.sum(0) + len(vocabulary) * 0.1)
+        given *= (n / given.sum(2))[:, :, None]
+    weights = given.sum(0) / given.sum((0, 1))
+    best = [sorted(range(len(vocabulary)), key=lambda i: (-weights[i, t], i))[:6] for t in range(k)]
+    return {(t, vocabulary[i]): weights[i, t] for t in range(k) for i in best[t]}
+
+
+def _lda_words(spark, docs=60):
+    rng = np.random.default_rng(3)
+    texts = [[f"t{d % 3}{x}" for x in rng.integers(0, 9, 25)] + [f"all{x}" for x in rng.zipf(1.6, 8) % 12] + [f"only{d}"] for d in range(docs)]
+    return spark.createDataFrame([*enumerate(texts), (docs, ["unknown"]), (docs + 1, [])], "doc_id bigint, words array<string>")
+
+
+def test_lda_is_the_plain_em_however_docs_are_spread(spark):
+    words = _lda_words(spark)
+    vocabulary = sorted({w for r in words.collect() for w in r["words"]} - {"unknown"})
+    want = _plain_lda(words, vocabulary, 3, 25)
+    runs = (words.coalesce(1), {}), (words.repartition(5), {"docs": 7, "keep": 4}), (words.repartition(3), {"cells": 1, "partition_bytes": 1000})
+    for spread, kw in runs:
+        got = {(r["topic"], r["token"]): r["weight"] for r in topics.lda(spread, vocabulary, 3, 25, **kw).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+    assert topics.lda(words.limit(0), vocabulary, 3, 5).count() == topics.lda(words, ["absent"], 3, 5).count() == topics.lda(words, [], 3, 5).count() == 0
+    assert topics.lda(words, ["t01", "t02"], 2, 5).count() == 4
+
+
+def test_lda_ends_where_sparks_own_em_ends(spark):
+    words = _lda_words(spark)
+    vocabulary = sorted({w for r in words.collect() for w in r["words"] if w[0] == "t"})
+    fitted = LDA(k=3, maxIter=100, seed=7, optimizer="em").fit(CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features").transform(words))
+    own = sorted(sorted(zip((vocabulary[i] for i in r["termIndices"]), r["termWeights"])) for r in fitted.describeTopics(6).collect())
+    got: dict[int, list] = {}
+    for r in topics.lda(words, vocabulary, 3, 100).collect():
+        got.setdefault(r["topic"], []).append((r["token"], r["weight"]))
+    for a, b in zip(sorted(map(sorted, got.values())), own, strict=True):
+        assert [x for x, _ in a] == [x for x, _ in b] and all(abs(x - y) < 1e-3 for (_, x), (_, y) in zip(a, b))
+
+
+def test_a_step_of_lda_shuffles_nothing(spark):
+    sc, words = spark.sparkContext, _lda_words(spark)
+    stages = []
+    for steps in (3, 8):
+        sc.setJobGroup(f"lda {steps}", "")
+        topics.lda(words, ["t00", "t01", "t12", "all1"], 2, steps)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"lda {steps}")
+        stages.append(sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[1] - stages[0] == 5  # one stage a step; as messages over a graph there are more
+
+
+def test_sums_of_many_tasks_meet_before_the_driver(spark):
+    tops = spark.createDataFrame([(np.array([i, 1.0]).tobytes(),) for i in range(20)], "top binary").repartition(9)
+    assert topics._summed(tops, 9, 4).tolist() == topics._summed(tops, 9).tolist() == [190.0, 20.0]
